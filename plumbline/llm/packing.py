@@ -23,7 +23,9 @@ from pyspark.sql import Window as W
 from .common import cut, texts_of
 from .tokens import encoder
 
-LENGTH, GRAIN = 2048, 8
+LENGTH, GRAIN = 2048, 16
+#: Column generation ends when no pattern prices above 1 by this.
+GAP = 1e-4
 #: Ranks are counted in so many hash buckets for each class, each of which one task sorts.
 DOCS_PER_BUCKET = 4_000
 
@@ -42,7 +44,7 @@ def _simplex(demand: np.ndarray, capacity: int, rounds: int = 3000) -> tuple[np.
             x = basis @ need
         price = basis.sum(axis=0)
         pattern = _knapsack(price, sizes, capacity)
-        if price @ pattern <= 1 + 1e-7:
+        if price @ pattern <= 1 + GAP:  # then the program is within that share of its least value
             break
         d = basis @ pattern
         with np.errstate(divide="ignore", invalid="ignore"):
