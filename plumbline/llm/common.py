@@ -140,6 +140,24 @@ def in_bloom(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (words[(hashes >> (np.uint64(64) - log2_words)).astype(np.int64)] & mask) == mask
 
 
+def passing(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose column may be among keys' (a superset, by a filter of bounded size), and the others: neither is shuffled."""
+    words = rows.sparkSession.sparkContext.broadcast(bloom(keys.select(F.xxhash64(column).alias("h")), "h", bloom_size(keys.count())))
+    names = rows.columns
+    hashed = rows.withColumn("_h", F.xxhash64(column))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def keep(want: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                on = in_bloom(words.value, batch.column("_h").to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(on == want)).select(names)
+
+        return run
+
+    return hashed.mapInArrow(keep(True), schema), hashed.mapInArrow(keep(False), schema)
+
+
 def bloom_size(n: int) -> int:
     """log2 of the words for about 16 bits a key, between 2**6 and 2**20 words."""
     return min(20, max(6, int(np.ceil(np.log2(max(1, n) / 4)))))

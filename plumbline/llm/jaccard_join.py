@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, shuffle_partitions, slices
+from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, passing, shuffle_partitions, slices
 from .graph import components
 from .words import mix, shingle_sets
 
@@ -264,7 +264,8 @@ def link_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame
     sizes = cut(member.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "sizes")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sized = cut(member.join(sizes, "component"), "clusters")
-    with_text = cut(sized.join(texts, "id"), "candidates")
+    near, _ = passing(texts, sized, "id")  # texts of candidates alone are shuffled
+    with_text = cut(sized.join(near, "id"), "candidates")
     small = with_text.where(f"m <= {LEAF}").withColumn("task", F.col("component")).withColumn("side", F.lit(0)).withColumn("seen", F.col("id"))
     links = cut(join_nodes(small, rule, parts), "links")
     if not sized.where(f"m > {LEAF}").isEmpty():
