@@ -70,12 +70,11 @@ def _cumulative(rows: DataFrame, score: str, places: int | None) -> DataFrame:
     # scores are compared as they are, so a candidate that rounding moved off its score takes its own place in the order
     marks = found.select(F.col("x").alias("s"), F.lit(1).alias("mark"), F.lit(0).alias("t"), F.lit(0).alias("f"))
     sums = rows.groupBy(F.col(score).alias("s")).agg(F.count(F.when(F.col("gold") == "true", 1)).alias("t"), F.count(F.when(F.col("gold") == "false", 1)).alias("f")).withColumn("mark", F.lit(0))
-    w = W.orderBy("s").rangeBetween(W.unboundedPreceding, 0)
-    below = W.orderBy("s").rangeBetween(W.unboundedPreceding, -1e-12)
     # one row for each distinct score: the sweep's window is over scores, not documents
-    all_ = marks.unionByName(sums)
-    d = all_.select("s", "mark", F.sum("t").over(w).alias("t_le"), F.sum("f").over(w).alias("f_le"), F.coalesce(F.sum("t").over(below), F.lit(0)).alias("t_lt"), F.coalesce(F.sum("f").over(below), F.lit(0)).alias("f_lt"))
-    return d.where("mark = 1").drop("mark").distinct()
+    per = marks.unionByName(sums).groupBy("s").agg(F.max("mark").alias("mark"), F.sum("t").alias("t"), F.sum("f").alias("f"))
+    w = W.orderBy("s").rowsBetween(W.unboundedPreceding, 0)
+    d = per.withColumn("t_le", F.sum("t").over(w)).withColumn("f_le", F.sum("f").over(w))
+    return d.where("mark = 1").select("s", "t_le", "f_le", (F.col("t_le") - F.col("t")).alias("t_lt"), (F.col("f_le") - F.col("f")).alias("f_lt"))
 
 
 def fit_thresholds(rows: DataFrame, least_false: float = 0.90, least_true: float = 0.80, top: int = 1) -> DataFrame:
@@ -110,7 +109,9 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
     """pairs (id, candidate, reference) with precision, recall and F1 of shared n-grams, counted with repeats, by one shuffle on id and gram."""
-    d = pairs.select("id", ngrams(rouge_tokens(F.col("candidate")), n).alias("c"), ngrams(rouge_tokens(F.col("reference")), n).alias("r"))
+    # tokens are a column first: an expression inside a lambda would be evaluated again for each gram
+    d = pairs.select("id", rouge_tokens(F.col("candidate")).alias("c"), rouge_tokens(F.col("reference")).alias("r"))
+    d = d.select("id", ngrams(F.col("c"), n).alias("c"), ngrams(F.col("r"), n).alias("r"))
     both = d.select("id", F.explode(F.concat(F.transform("c", lambda g: F.struct(g.alias("g"), F.lit(1).alias("x"), F.lit(0).alias("y"))), F.transform("r", lambda g: F.struct(g.alias("g"), F.lit(0).alias("x"), F.lit(1).alias("y"))))).alias("e")).select("id", "e.*")
     per = both.groupBy("id", "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).groupBy("id").agg(F.sum(F.least("x", "y")).alias("o"), F.sum("x").alias("nc"), F.sum("y").alias("nr"))
     all_ = pairs.select("id").join(per, "id", "left").na.fill(0)

@@ -467,26 +467,26 @@ def claim_scores(spark, sf):
     return claims.scored_candidates(_claim_articles(spark, sf)).select("doc_id", "idx", "mode", "score")
 
 
-_PROBS = "probs as (select doc_id, quality, toxic, ((doc_id * 31) % 101) / 100.0 as pf, ((doc_id * 17) % 50) / 100.0 as ag, ((doc_id * 13) % 30) / 100.0 as di, ((doc_id * 7) % 20) / 100.0 as un from labels), full_probs as (select *, 1 - pf as pt, 1 - ag - di - un as dg from probs)"
+_PROBS = "probs as (select doc_id, quality, toxic, ((doc_id * 31) % 97) / 97.0 as pf, ((doc_id * 17) % 50) / 101.0 as ag, ((doc_id * 13) % 30) / 103.0 as di, ((doc_id * 7) % 20) / 107.0 as un from labels), full_probs as (select *, 1 - pf as pt, 1 - ag - di - un as dg from probs)"
 _SIGNALS = "sig as (select doc_id, quality, (ag + 0.35 * di + 0.05 * un) / greatest(ag + 0.35 * di + 0.05 * un + 0.1 * di + dg, 1) as s, (0.1 * di + dg) / greatest(ag + 0.35 * di + 0.05 * un + 0.1 * di + dg, 1) as r, pf, pt from full_probs)"
 
 
 def _signals(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("doc_id")
-    d = tables.table(spark, sf, "labels").withColumns({"p_false": ((i * 31) % 101) / 100.0, "stance_agree": ((i * 17) % 50) / 100.0, "stance_discuss": ((i * 13) % 30) / 100.0, "stance_unrelated": ((i * 7) % 20) / 100.0})
+    d = tables.table(spark, sf, "labels").withColumns({"p_false": ((i * 31) % 97) / 97.0, "stance_agree": ((i * 17) % 50) / 101.0, "stance_discuss": ((i * 13) % 30) / 103.0, "stance_unrelated": ((i * 7) % 20) / 107.0})
     d = d.withColumn("p_true", 1 - F.col("p_false")).withColumn("stance_disagree", 1 - F.col("stance_agree") - F.col("stance_discuss") - F.col("stance_unrelated"))
     return scoring.claim_signals(d)
 
 
-@query(f"with {_PROBS}, {_SIGNALS} select doc_id, round(s, 3) as support_score, round(r, 3) as refute_score, round(pf * s, 3) as fake_risk, round(pt * s + pf * r, 3) as real_support from sig")
+@query(f"with {_PROBS}, {_SIGNALS} select doc_id, round(s, 4) as support_score, round(r, 4) as refute_score, round(pf * s, 4) as fake_risk, round(pt * s + pf * r, 4) as real_support from sig")
 def claim_signals(spark, sf):
-    return _signals(spark, sf).select("doc_id", *[F.round(c, 3).alias(c) for c in ("support_score", "refute_score", "fake_risk", "real_support")])
+    return _signals(spark, sf).select("doc_id", "support_score", "refute_score", "fake_risk", "real_support")
 
 
-@query(f"with {_PROBS}, {_SIGNALS}, a as (select doc_id // 3 as doc_id, avg(round(pf * s, 4)) as m, count(*) as claims from sig group by 1) select doc_id, round(m, 3) as risk, claims, case when round(m, 4) >= 0.5 then 'False' else 'True' end as label from a")
+@query(f"with {_PROBS}, {_SIGNALS}, a as (select doc_id // 3 as doc_id, avg(round(pf * s, 4)) as m, count(*) as claims from sig group by 1) select doc_id, round(m, 4) as risk, claims, case when round(m, 4) >= 0.5 then 'False' else 'True' end as label from a")
 def article_risk(spark, sf):
     d = scoring.article_risk(_signals(spark, sf).withColumn("doc_id", F.expr("doc_id div 3")))
-    return d.select("doc_id", F.round("risk", 3).alias("risk"), "claims", "label")
+    return d.select("doc_id", "risk", "claims", "label")
 
 
 @query("select u.conv_id, u.turn, md5(u.text) as headline, md5(a.text) as body from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'")
