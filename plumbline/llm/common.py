@@ -14,8 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 2000
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``. Only local sessions without that setting get a temporary one."""
+    # rows may be long texts: batches of fewer rows bound what a Python worker and its executor hold
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -70,7 +75,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of at most that many bytes; a longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -111,6 +116,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

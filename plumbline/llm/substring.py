@@ -31,7 +31,7 @@ from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, shuffle_par
 from .words import hash_words, mix, sliding_min, split_words, window_hashes
 
 LENGTH, GRAM = 50, 8
-SHARD_WORDS, TASK_WORDS = 60_000, 200_000
+SHARD_WORDS, TASK_WORDS = 30_000, 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
