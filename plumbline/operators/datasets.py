@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .metrics import running_sums
+
 
 def shuffled(id_: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), id_.cast("string")).cast("binary"))
@@ -34,8 +36,8 @@ def plain_split(rows: DataFrame, train: float = 0.8, validation: float = 0.1, se
 
 def grouped_split(rows: DataFrame, group: str, share: float = 0.1, seed: int = 42) -> DataFrame:
     """rows with split: whole groups in shuffled order go to validation until it has round(rows * share) rows."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("c"))
-    run = W.orderBy(shuffled(F.col(group), seed)).rowsBetween(W.unboundedPreceding, -1)
+    order = shuffled(F.col(group), seed)
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("c")).withColumn("o", order).withColumn("k", F.substring("o", 1, 3))
     total = sizes.agg(F.bround(F.sum("c") * share).alias("target"))
-    placed = sizes.withColumn("before", F.coalesce(F.sum("c").over(run), F.lit(0))).join(F.broadcast(total))  # one row
+    placed = running_sums(sizes, "k", ["o"], ["c"]).withColumn("before", F.col("c_le") - F.col("c")).join(F.broadcast(total))  # one row
     return rows.join(placed.select(group, F.when(F.col("before") < F.col("target"), "validation").otherwise("train").alias("split")), group)

@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from ..functions.text import rouge_tokens
 
+RANGES = 1024
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
@@ -70,26 +72,38 @@ def _cumulative(rows: DataFrame, score: str, places: int | None) -> DataFrame:
     # scores are compared as they are, so a candidate that rounding moved off its score takes its own place in the order
     marks = found.select(F.col("x").alias("s"), F.lit(1).alias("mark"), F.lit(0).alias("t"), F.lit(0).alias("f"))
     sums = rows.groupBy(F.col(score).alias("s")).agg(F.count(F.when(F.col("gold") == "true", 1)).alias("t"), F.count(F.when(F.col("gold") == "false", 1)).alias("f")).withColumn("mark", F.lit(0))
-    # one row for each distinct score: the sweep's window is over scores, not documents
+    # one row for each distinct score; running sums go by range of scores, so that no task has them all
     per = marks.unionByName(sums).groupBy("s").agg(F.max("mark").alias("mark"), F.sum("t").alias("t"), F.sum("f").alias("f"))
-    w = W.orderBy("s").rowsBetween(W.unboundedPreceding, 0)
-    d = per.withColumn("t_le", F.sum("t").over(w)).withColumn("f_le", F.sum("f").over(w))
+    per = per.withColumn("k", F.least(F.lit(RANGES - 1), F.greatest(F.lit(0), F.floor(F.col("s") * RANGES))))
+    d = running_sums(per, "k", ["s"], ["t", "f"])
     return d.where("mark = 1").select("s", "t_le", "f_le", (F.col("t_le") - F.col("t")).alias("t_lt"), (F.col("f_le") - F.col("f")).alias("f_lt"))
 
 
-def fit_thresholds(rows: DataFrame, least_false: float = 0.90, least_true: float = 0.80, top: int = 1) -> DataFrame:
-    """The best (low, high): precision on both sides, then coverage, macro F1, decided accuracy and summed precision; ties to the smaller low and larger number of places in order.
+def running_sums(rows: DataFrame, bucket: str, order: list[str], values: list[str]) -> DataFrame:
+    """rows with the running sum (name_le) of each value in the order of (bucket, order): sums of whole buckets first, then inside each."""
+    totals = rows.groupBy(bucket).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = totals.select(bucket, *[F.coalesce(F.sum(f"_{v}").over(W.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"_{v}") for v in values])  # one row a bucket
+    w = W.partitionBy(bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inner = rows.select("*", *[F.sum(v).over(w).alias(f"{v}_in") for v in values]).join(before, bucket)
+    return inner.select(*rows.columns, *[(F.col(f"{v}_in") + F.col(f"_{v}")).alias(f"{v}_le") for v in values])
+
 
-    Counts are prefix sums over distinct scores rounded to six places, and pairs are a range join of those candidates."""
+def fit_thresholds(rows: DataFrame, least_false: float = 0.90, least_true: float = 0.80) -> DataFrame:
+    """The best (low, high) with enough precision on both sides: by coverage, macro F1, decided accuracy and summed precision; equals by the smaller low, then high.
+
+    Counts are running sums over distinct scores rounded to six places (at most a million and one). For a given low, the smallest
+    high above it that is precise enough covers most, and wider ones that cover as much decide alike, so each low is tried with that one."""
     d = _cumulative(rows, "risk", 6)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("gold") == "true", 1)).alias("true_total"), F.count(F.when(F.col("gold") == "false", 1)).alias("false_total"))
-    low = d.select(F.col("s").alias("low"), (F.col("t_le") + F.col("f_le")).alias("pred_true"), F.col("t_le").alias("tp_true"))
-    high = d.select(F.col("s").alias("high"), F.col("t_lt").alias("ht"), F.col("f_lt").alias("hf"))
-    pairs = low.join(high, F.col("low") < F.col("high")).join(F.broadcast(total))  # one row
-    pairs = pairs.withColumn("pred_false", F.col("true_total") + F.col("false_total") - F.col("ht") - F.col("hf")).withColumn("tp_false", F.col("false_total") - F.col("hf")).drop("ht", "hf")
-    m = triage_metrics(pairs).where((F.col("false_precision") >= least_false) & (F.col("true_precision") >= least_true) & (F.col("pred_false") > 0) & (F.col("pred_true") > 0))
+    d = d.join(F.broadcast(total))  # one row
+    d = d.withColumn("pf", F.col("n") - F.col("t_lt") - F.col("f_lt")).withColumn("tf", F.col("false_total") - F.col("f_lt"))
+    fine = (F.col("pf") > 0) & (F.col("tf") >= least_false * F.col("pf"))
+    high = F.min(F.when(fine, F.struct(F.col("s").alias("high"), F.col("pf").alias("pred_false"), F.col("tf").alias("tp_false")))).over(W.orderBy("s").rowsBetween(1, W.unboundedFollowing))
+    d = d.withColumn("h", high).where("h is not null and t_le + f_le > 0")
+    pairs = d.select(F.col("s").alias("low"), "h.*", (F.col("t_le") + F.col("f_le")).alias("pred_true"), F.col("t_le").alias("tp_true"), "n", "true_total", "false_total")
+    m = triage_metrics(pairs).where((F.col("false_precision") >= least_false) & (F.col("true_precision") >= least_true))
     key = [F.desc(F.round("coverage", 12)), F.desc(F.round("macro_f1", 12)), F.desc(F.round("decided_accuracy", 12)), F.desc(F.round(F.col("false_precision") + F.col("true_precision"), 12)), F.asc("low"), F.asc("high")]
-    return m.orderBy(*key).limit(top)
+    return m.orderBy(*key).limit(1)
 
 
 def best_f1_threshold(rows: DataFrame, score: str = "risk") -> DataFrame:
@@ -119,19 +133,6 @@ def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
     return all_.select("id", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence of token arrays, by a fold over a that keeps one row of the table."""
-    zero = F.transform(b, lambda _: F.lit(0))
-
-    def row(prev: Column, x: Column) -> Column:
-        # new[j] = max(prev[j], new[j-1], prev[j-1] + 1 where equal): a running maximum of the two from the old row
-        shifted = F.concat(F.array(F.lit(0)), F.slice(prev, 1, F.size(prev) - 1))
-        cell = F.zip_with(F.zip_with(b, shifted, lambda y, p: F.when(y == x, p + 1).otherwise(0)), prev, lambda u, v: F.greatest(u, v))
-        return F.aggregate(cell, F.expr("cast(array() as array<int>)"), lambda acc, v: F.concat(acc, F.array(F.greatest(v, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))))))
-
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.coalesce(F.array_max(F.aggregate(a, zero, row)), F.lit(0)))
-
-
 def rouge_l(pairs: DataFrame) -> DataFrame:
     """F1 of the longest common subsequence of the whole texts, by a vectorised dynamic program over Arrow batches."""
     from collections.abc import Iterator

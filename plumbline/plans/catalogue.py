@@ -483,7 +483,7 @@ def claim_signals(spark, sf):
     return _signals(spark, sf).select("doc_id", "support_score", "refute_score", "fake_risk", "real_support")
 
 
-@query(f"with {_PROBS}, {_SIGNALS}, a as (select doc_id // 3 as doc_id, avg(round(pf * s, 4)) as m, count(*) as claims from sig group by 1) select doc_id, round(m, 4) as risk, claims, case when round(m, 4) >= 0.5 then 'False' else 'True' end as label from a")
+@query(f"with {_PROBS}, {_SIGNALS}, a as (select doc_id // 3 as doc_id, avg(round(pf * s, 4)) as m, count(*) as claims from sig group by 1) select doc_id, round(cast(m as decimal(18, 10)), 4) as risk, claims, case when round(m, 4) >= 0.5 then 'False' else 'True' end as label from a")
 def article_risk(spark, sf):
     d = scoring.article_risk(_signals(spark, sf).withColumn("doc_id", F.expr("doc_id div 3")))
     return d.select("doc_id", "risk", "claims", "label")
