@@ -131,9 +131,11 @@ def score() -> Column:
 
 def scored_candidates(articles: DataFrame, settings: ClaimSettings = ClaimSettings()) -> DataFrame:
     """Checkable candidates with score and idx: first of equal keys in an article, then the first `max_candidates` of them."""
-    d = judged(project(candidates(articles).where(usable(settings)))).where("verifiable")
-    d = d.withColumn("score", score()).withColumn("key", claim_key(F.col("target")))
-    d = d.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "key").orderBy("pos"))).where("nth = 1")
+    d = judged(project(candidates(articles).where(usable(settings))))
+    d = d.withColumn("score", score()).withColumn("key", claim_key(F.col("target"))).repartition("doc_id")
+    # the gate is applied above the window: pushed below it, its condition would hold every expression it rests on, many times over
+    first = W.partitionBy("doc_id", "key").orderBy(F.desc("verifiable"), "pos")
+    d = d.withColumn("nth", F.row_number().over(first)).where("nth = 1 and verifiable")
     d = d.withColumn("idx", F.row_number().over(W.partitionBy("doc_id").orderBy("pos")) - 1)
     return d.where(F.col("idx") < settings.max_candidates).drop("nth", "key", "low", "ltarget")
 
