@@ -37,6 +37,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does so when their handles are collected as garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system for a uri (file, hdfs, s3, gs), and the path in it."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))

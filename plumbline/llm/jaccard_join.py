@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, passing, shuffle_partitions, slices
+from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, passing, release, shuffle_partitions, slices
 from .graph import components
 from .words import mix, shingle_sets
 
@@ -242,6 +242,7 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     """(id, component): classes (id, blocks) that share blocks, directly or over others. A block's classes are linked with the least of them."""
     blocks = _exploded(classes, None).groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("block")
     blocks = cut(blocks, "blocks")
+    release(classes.sparkSession)
     words = bloom(blocks, "block", bloom_size(blocks.count()))
     members = cut(_exploded(classes, words).distinct(), "members")
     least = cut(members.groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi"), "least")
@@ -318,7 +319,10 @@ def _large(members: DataFrame, rule: Rule, parts: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
     """docs without those that are linked with a smaller doc_id: the row of the smallest doc_id of each component stays, once for each doc_id; rows without shingles and without doc_id stay."""
-    found = link_components(docs, percent, k)
-    stay = cut(found.where("doc_id is not null and doc_id = component_id").select("doc_id").distinct(), "stay")
-    with_id = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = link_components(docs, percent, k).where("doc_id is not null")
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+    # the texts of these alone are shuffled
+    near, clear = passing(docs.where("doc_id is not null"), cut(gone.union(repeated), "suspects"), "doc_id")
+    kept = near.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return clear.unionByName(kept).unionByName(docs.where("doc_id is null"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, shuffle_partitions, slices
+from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, release, shuffle_partitions, slices
 from .words import hash_words, mix, sliding_min, split_words, window_hashes
 
 LENGTH, GRAM = 50, 8
@@ -264,8 +264,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     words = bloom(shared, "anchor", bloom_size(shared.count()))
     windows = cut(_candidates(docs, words, length, False), "windows")
     owners = cut(windows.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp", "lo"), "owners")
+    release(spark)
     found = windows.join(owners, "fp")
     runs = cut(_runs_by_document(found, length, parts), "runs")
+    release(spark)
     reference = runs.where("lo = doc_id").agg(F.sum(F.col("e") - F.col("s") + length).alias("w")).first()["w"] or 0
     texts = _candidates(docs, words, length, True)
     dealt = cut(_deal(runs, texts, length, max(1, -(-reference // SHARD_WORDS))), "dealt")
