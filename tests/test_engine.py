@@ -62,7 +62,7 @@ def test_signals_and_triage(spark):
 def test_thresholds_against_the_full_grid(spark):
     r = random.Random(3)
     rows = [("true" if r.random() < 0.6 else "false", None) for _ in range(80)]
-    rows = [(g, round(min(1, max(0, r.gauss(0.3 if g == "true" else 0.75, 0.2))), 2)) for g, _ in rows]
+    rows = [(g, round(min(1.0, max(0.0, r.gauss(0.3 if g == "true" else 0.75, 0.2))), 2)) for g, _ in rows]
     d = spark.createDataFrame(rows, "gold string, risk double")
     best = None
     cands = sorted({0.0, 1.0, *[x for _, x in rows]})
