@@ -130,17 +130,17 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix as documents: for each document and pass one row, whose text is the run of words that pass takes (the whole text where it takes all). Columns as in docs."""
+    """The mix as documents: for each document and pass one row, with the whole text where the pass takes all of it, else the run of words that it takes, joined by one space. Columns as in docs."""
     _, pieces = mix(docs, block)
-    runs = pieces.groupBy("doc_id", "copy", "key", "pass").agg(F.min("word").alias("a"), F.sum("words").alias("n"))
+    runs = pieces.groupBy("doc_id", "copy", "key", "pass").agg(F.min("word").cast("int").alias("a"), F.sum("words").cast("int").alias("n"))
     runs = runs.groupBy("doc_id", "copy", "key").agg(F.collect_list(F.struct("pass", "a", "n")).alias("runs"))
     runs = runs.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "copy").orderBy("key"))).drop("key")
     full = docs.withColumn("copy", F.xxhash64("text"))
     full = full.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "copy").orderBy(F.lit(0))))
     joined = full.join(runs, (full.doc_id.eqNullSafe(runs.doc_id)) & (full.copy == runs.copy) & (full.nth == runs.nth)).select(*[full[c] for c in docs.columns], runs["runs"])
     joined = joined.withColumn("run", F.explode("runs")).withColumn("size", n_words(F.col("text")))
-    # a run's text: the a-th word up to before the (a + n)-th, with the blanks between
-    cut_text = F.expr("regexp_extract(text, concat('^[\\\\x20\\\\x09-\\\\x0D]*(?:[^\\\\x20\\\\x09-\\\\x0D]++[\\\\x20\\\\x09-\\\\x0D]++){', run.a, '}((?:[^\\\\x20\\\\x09-\\\\x0D]++[\\\\x20\\\\x09-\\\\x0D]*+){', run.n, '})'), 1)")
-    text = F.when((F.col("run.a") == 0) & (F.col("run.n") == F.col("size")), F.col("text")).otherwise(F.rtrim(cut_text))
+    words = F.filter(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")
+    part = F.array_join(F.slice(words, F.col("run.a") + 1, F.col("run.n")), " ")
+    text = F.when((F.col("run.a") == 0) & (F.col("run.n") == F.col("size")), F.col("text")).otherwise(part)
     chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return joined.withColumn("text", text).select(*docs.columns).withColumns(chars)
