@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -18,7 +19,8 @@ _OTHER = re.compile(r"[^\x00-\x7eÀ-ÖØ-öø-ÿ]")
 _SUFFIX = "'(?:s|t|re|ve|m|ll|d)"
 _WORDS = re.compile(f"{_SUFFIX}|[{_LETTER}]+|[0-9]|[^{_BLANK}{_LETTER}0-9]+")
 _BYTES = re.compile(f"{_SUFFIX}| ?[{_LETTER}]+| ?[0-9]+| ?[^{_BLANK}{_LETTER}0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
-CACHE = 400_000
+#: Pre-tokens that a worker keeps: about 200 bytes each.
+CACHE = 800_000
 
 
 class Encoder:
@@ -47,7 +49,7 @@ class Encoder:
         cut = [self.pattern.findall(t.lower() if self.folds else t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = list(set().union(*cut) - self.cache.keys())
+        new = list(set(filterfalse(self.cache.__contains__, chain.from_iterable(cut))))
         if new:
             self.cache.update(zip(new, self._whole(new)))
         get = self.cache.__getitem__
