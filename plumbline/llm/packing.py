@@ -113,8 +113,8 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH) -> DataFrame:
-    """Pieces of every document with their ids: doc_id, copy (a hash that tells texts of one doc_id apart), start, length, ids, ids_crc32, doc_tokens."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+    """Pieces of every document: doc_id, copy (a hash that tells texts of one doc_id apart), start, length, ids (little-endian, null unless asked for), ids_crc32, doc_tokens."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH) -
                     for start in range(0, n, length):
                         ids = raw[start * width : (start + length) * width]
                         crc = zlib.crc32(np.frombuffer(ids, enc.dtype).astype("<u4").tobytes())
-                        rows.append((doc, copy, start, len(ids) // width, ids, crc, n))
+                        rows.append((doc, copy, start, len(ids) // width, ids if with_ids else None, crc, n))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["doc_id", "copy", "start", "length", "ids", "ids_crc32", "doc_tokens"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("copy"))
@@ -141,7 +141,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, gra
     """The pieces, with sequence_id and offset: the packed corpus."""
     spark = docs.sparkSession
     units = length // grain
-    made = cut(pieces(docs, tokenizer, end_id, length).withColumn("class", F.ceil(F.col("length") / grain).cast("int")), "pieces")
+    # ids take no part in the plan: with_ids joins them to it
+    made = cut(pieces(docs, tokenizer, end_id, length).drop("ids").withColumn("class", F.ceil(F.col("length") / grain).cast("int")), "pieces")
     buckets = max(1, -(-made.count() // DOCS_PER_BUCKET))
     keyed = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "copy", "start"), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("c"))
@@ -169,8 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, gra
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(seq)], [*batch.schema.names, "sequence_id"])
 
     before = counts.withColumn("before", F.sum("c").over(W.partitionBy("class").orderBy("bucket")) - F.col("c")).drop("c")
-    narrow = keyed.drop("ids")
-    ranked = narrow.withColumn("r", F.row_number().over(W.partitionBy("class", "bucket").orderBy("doc_id", "copy", "start")) - 1)
+    ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("class", "bucket").orderBy("doc_id", "copy", "start")) - 1)
     ranked = ranked.join(before, ["class", "bucket"]).withColumn("rank", F.col("r") + F.col("before")).drop("r", "before", "bucket")
     seqs = ranked.mapInArrow(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema) + ", sequence_id long")
     w = W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "copy", "start", "rank").rowsBetween(W.unboundedPreceding, -1)
@@ -179,5 +179,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, gra
 
 def with_ids(docs: DataFrame, tokenizer: str, end_id: int, packed: DataFrame, length: int = LENGTH) -> DataFrame:
     """The packed pieces with their ids, for writers of training files."""
-    ids = pieces(docs, tokenizer, end_id, length).select("doc_id", "copy", "start", "ids").dropDuplicates(["doc_id", "copy", "start"])
+    ids = pieces(docs, tokenizer, end_id, length, True).select("doc_id", "copy", "start", "ids").dropDuplicates(["doc_id", "copy", "start"])
     return packed.join(ids, ["doc_id", "copy", "start"])
