@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import accumulate, chain, filterfalse, pairwise
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -43,7 +43,10 @@ class Encoder:
             self.cache.clear()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        raw = np.fromiter(chain.from_iterable(ids), self.dtype).tobytes()
+        ends = list(accumulate((len(x) * self.dtype.itemsize for x in ids), initial=0))
+        return [raw[a:b] for a, b in pairwise(ends)]
 
     def _cached(self, texts: list[str]) -> list[bytes]:
         cut = [self.pattern.findall(t.lower() if self.folds else t) for t in texts]
