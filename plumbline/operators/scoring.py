@@ -68,14 +68,19 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def mean4(c: str) -> Column:
+    """Mean of numbers of four places, to four places: in decimals, so that it doesn't depend on the order of rows."""
+    return F.round(clamp(F.round(F.avg(F.col(c).cast("decimal(10,4)")), 4).cast("double")), 4)
+
+
 def article_risk(signals: DataFrame, threshold: float = ARTICLE) -> DataFrame:
     """Mean of its claims' signals for each doc_id; label False at or above the threshold."""
-    g = signals.groupBy("doc_id").agg(F.round(clamp(F.avg("fake_risk")), 4).alias("risk"), F.round(clamp(F.avg("real_support")), 4).alias("real_support"), F.count(F.lit(1)).alias("claims"))
+    g = signals.groupBy("doc_id").agg(mean4("fake_risk").alias("risk"), mean4("real_support").alias("real_support"), F.count(F.lit(1)).alias("claims"))
     return g.withColumn("label", F.when(F.col("risk") >= threshold, "False").otherwise("True"))
 
 
 def article_risk_without_stance(claims: DataFrame, threshold: float = ARTICLE) -> DataFrame:
-    g = claims.groupBy("doc_id").agg(F.round(clamp(F.avg("p_false")), 4).alias("risk"), F.count(F.lit(1)).alias("claims"))
+    g = claims.groupBy("doc_id").agg(mean4("p_false").alias("risk"), F.count(F.lit(1)).alias("claims"))
     return g.withColumn("real_support", F.round(1 - F.col("risk"), 4)).withColumn("label", F.when(F.col("risk") >= threshold, "False").otherwise("True"))
 
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import labels as lb
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..operators import claims, clustering, datasets, evidence, metrics, preprocess, scoring, serving
+from ..operators import claims, clustering, datasets, evidence, metrics, preprocess, scoring, serving, summaries, training
 from ..sources import html, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -483,7 +484,7 @@ def claim_signals(spark, sf):
     return _signals(spark, sf).select("doc_id", "support_score", "refute_score", "fake_risk", "real_support")
 
 
-@query(f"with {_PROBS}, {_SIGNALS}, a as (select doc_id // 3 as doc_id, avg(round(pf * s, 4)) as m, count(*) as claims from sig group by 1) select doc_id, round(cast(m as decimal(18, 10)), 4) as risk, claims, case when round(m, 4) >= 0.5 then 'False' else 'True' end as label from a")
+@query(f"with {_PROBS}, {_SIGNALS}, a as (select doc_id // 3 as doc_id, (2 * sum(cast(round(round(pf * s, 4) * 10000) as bigint)) + count(*)) // (2 * count(*)) / 10000.0 as m, count(*) as claims from sig group by 1) select doc_id, m as risk, claims, case when m >= 0.5 then 'False' else 'True' end as label from a")
 def article_risk(spark, sf):
     d = scoring.article_risk(_signals(spark, sf).withColumn("doc_id", F.expr("doc_id div 3")))
     return d.select("doc_id", "risk", "claims", "label")
@@ -633,3 +634,42 @@ def stream_windows(spark, sf):
 @query("select user_id, event_type, min(event_id) as event_id from events group by all")
 def stream_dedupe(spark, sf):
     return tables.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+# --- summaries, training and caches ---------------------------------------------------------------------------
+@query(f"with {RAW} select news_raw_id, length(content_raw) >= 700 as wants_summary, case when length(content_raw) >= 700 then array_to_string(list_filter(string_split(regexp_replace(content_raw, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: x <> '')[1:3], ' ') else substr(content_raw, 1, 600) end as summary from raw")
+def lead_summaries(spark, sf):
+    t = F.col("content_raw")
+    return tables.news_raw(spark, sf).select("news_raw_id", summaries.wants_summary(t).alias("wants_summary"), summaries.lead_summary(t).alias("summary"))
+
+
+@query(f"with {LABELS}, c as (select gold, count(*) as n from scored group by gold) select doc_id, round((select count(*) from scored) / n, 6) as weight from scored join c using (gold)")
+def sample_weights(spark, sf):
+    return training.sample_weights(tables.scored_labels(spark, sf), "gold").select("doc_id", F.round("weight", 6).alias("weight"))
+
+
+_HISTORY = [(1, 0.5), (2, 0.7), (3, 0.7), (4, 0.6), (5, 0.8)]
+
+
+@query("with h(epoch, score) as (values (1, 0.5), (2, 0.7), (3, 0.7), (4, 0.6), (5, 0.8)), b as (select *, coalesce(score > max(score) over (order by epoch rows between unbounded preceding and 1 preceding), true) as better from h), c as (select epoch, score, max(score) over w as best_so_far, max(case when better then epoch end) over w as best_epoch from b window w as (order by epoch)) select *, epoch - best_epoch as since_best, max(case when epoch - best_epoch >= 2 then 1 else 0 end) over (order by epoch) = 1 as stopped from c")
+def early_stopping(spark, sf):
+    return training.early_stop(spark.createDataFrame(_HISTORY, "epoch int, score double"))
+
+
+@query("select cast(ts - interval 5 hours as date) as day, count(*) as n from events group by 1")
+def lima_days(spark, sf):
+    return tables.table(spark, sf, "events").groupBy(F.to_date(F.from_utc_timestamp("ts", "America/Lima")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("with o as (select event_id, user_id, ts, epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts, event_id)) as gap from events) select user_id, count(*) filter (gap is null or gap >= 1800) as sessions, count(*) as n from o group by user_id")
+def sessions(spark, sf):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = at - F.lag(at).over(w)
+    d = tables.table(spark, sf, "events").select("user_id", gap.alias("gap"))
+    return d.groupBy("user_id").agg(F.count(F.when(F.col("gap").isNull() | (F.col("gap") >= 1_800_000_000), 1)).alias("sessions"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select role, count(*) as n, cast(sum(length(text)) as bigint) as chars from conversations group by role")
+def turns_by_role(spark, sf):
+    return tables.table(spark, sf, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
