@@ -1,10 +1,17 @@
 """Quality rules with risk-controlled thresholds, as Spark SQL expressions alone.
 
 Base counts are taken from each whole text. Every rule compares one ratio with a cutoff of a fixed
-grid. A labelled holdout tells how many good documents a cutoff would reject; the exact
-(Clopper-Pearson) upper bound of that rate, at a confidence corrected for all strata, rules and cutoffs
-(Bonferroni), must stay below the rule's share of ``risk``. Of the cutoffs that pass, the strictest is
-taken for each rule and stratum; where none passes, the rule is off there.
+grid. A labelled holdout tells how many good documents the rules would reject together. A third of it
+(by hash of doc_id) and the bad documents order the cutoffs: from all rules off, one rule at a time
+goes one cutoff stricter, the least costly for good documents first. The other two thirds test that path from loose to
+strict: the exact (Clopper-Pearson) upper bound of the share of good documents that any of the rules
+rejects must stay below ``risk``, and the first step that fails ends the path. A fixed sequence spends
+its whole confidence on each step, so ``delta`` is divided by the number of pools alone.
+
+A pool is a stratum. Strata with too few good documents to prove a single step join the neighbour with
+fewer; the bound then holds for the pool, and a step also ends the path where one member's own share
+of rejected good documents is above ``risk``. Strata without good documents in the test have their rules off, as
+has every stratum while one pool of all is too small.
 
 Null and empty texts have no words and fail the base rule; documents without a label are judged, but
 not counted in the holdout; a label without a document is ignored, and one doc_id with several rows or
@@ -12,8 +19,10 @@ labels counts each pair; an empty table gives no rows and needs no label."""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,25 +124,90 @@ def upper_tail(k: str, n: str, p: str) -> Column:
     return F.expr(f"case when {k} >= {n} then 1.0 when {x} < ({a} + 1) / ({a} + {b} + 2) then {direct} else {other} end")
 
 
-def thresholds(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff) of the rules that are on: at most strata x rules rows.
+def least_good(risk: float, level: float) -> int:
+    """Good documents that prove a step at the level when it rejects none of them."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
 
-    Good documents are those with quality 1 that pass the base rule. The holdout is every labelled document; rejections are summed for each cutoff before anything moves."""
-    good = features.where(~base_failed()).withColumn("stratum", stratum()).join(labels.where("quality = 1").select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"))
-    tests = len(STRATA) * sum(len(c) for _, c in RULES.values())
-    names = [(r, c) for r, (_, cuts) in RULES.items() for c in cuts]
-    sums = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.sum((_ratio(r) > c).cast("long")).alias(f"c{i}") for i, (r, c) in enumerate(names)])
-    listed = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"c{i}").alias("k")) for i, (r, c) in enumerate(names)])).alias("x")
-    cells = sums.select("stratum", "n", listed).select("stratum", "n", "x.*")
-    passed = cells.where("n > 0").where(upper_tail("k", "n", str(risk / len(RULES))) <= delta / tests)
-    return passed.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+
+def pools(counts: dict[str, int], risk: float = RISK, delta: float = DELTA) -> list[list[str]]:
+    """Strata with good documents, in groups of neighbours that have enough of them for delta divided by the number of groups. Looks at the counts alone."""
+    out = [[name] for name, _ in STRATA if counts.get(name)]
+    while len(out) > 1:
+        n = [sum(counts[s] for s in p) for p in out]
+        i = n.index(min(n))
+        if n[i] >= least_good(risk, delta / len(out)):
+            break
+        j = min((j for j in (i - 1, i + 1) if 0 <= j < len(out)), key=lambda j: n[j])
+        out[min(i, j) : max(i, j) + 1] = [out[min(i, j)] + out[max(i, j)]]
+    return out
+
+
+def path(steps: np.ndarray, good: np.ndarray, bad: np.ndarray) -> list[tuple[int, ...]]:
+    """Places in the cutoffs of each rule, from all off to all strictest, one rule one cutoff at a time: next is what rejects the fewest good for each bad document.
+
+    ``steps`` has a row for each kind of document: how many cutoffs of each rule it exceeds; ``good`` and ``bad`` count the documents of each kind."""
+    at = [len(cuts) for _, cuts in RULES.values()]
+    out, failed = [], np.zeros(len(steps), bool)
+    while any(at):
+        best = None
+        for r in range(len(at)):
+            if at[r]:
+                new = (steps[:, r] >= at[r]) & ~failed
+                lost, caught = int(good[new].sum()), int(bad[new].sum())
+                cost = (lost / (caught + 1), -caught, -at[r], r)
+                if best is None or cost < best[0]:
+                    best = (cost, r)
+        r = best[1]
+        failed |= steps[:, r] >= at[r]
+        at[r] -= 1
+        out.append(tuple(at))
+    return out
+
+
+def thresholds(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> list[tuple[str, str, float]]:
+    """(stratum, rule, cutoff) of the rules that are on: at most strata x rules.
+
+    Good documents are those with quality 1 that pass the base rule, bad ones those with quality 0 that do. Labelled documents are counted
+    by stratum and the number of cutoffs that each ratio exceeds, so what the driver gets is bounded by the grid."""
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), "quality")
+    labelled = features.where(~base_failed()).withColumn("stratum", stratum()).join(known, F.col("doc_id") == F.col("_id"))
+    exceeded = [reduce(lambda a, b: a + b, [(_ratio(r) > c).cast("int") for c in cuts]).alias(f"m{i}") for i, (r, (_, cuts)) in enumerate(RULES.items())]
+    learns = (F.pmod(F.xxhash64(F.lit("quality"), "_id"), F.lit(3)) == 0).alias("learns")
+    cells = labelled.select("stratum", "quality", learns, *exceeded).groupBy("stratum", "quality", "learns", *[f"m{i}" for i in range(len(RULES))]).agg(F.count(F.lit(1)).alias("n")).collect()
+    tested = {name: sum(r["n"] for r in cells if r["stratum"] == name and r["quality"] == 1 and not r["learns"]) for name, _ in STRATA}
+    groups, paths, tests = pools(tested, risk, delta), [], []
+    for g, members in enumerate(groups):
+        own = [r for r in cells if r["stratum"] in members]
+        steps = np.array([[r[f"m{i}"] for i in range(len(RULES))] for r in own])
+        n = np.array([r["n"] for r in own], np.int64)
+        is_good, learn = np.array([r["quality"] == 1 for r in own]), np.array([r["learns"] for r in own])
+        paths.append(path(steps, n * (is_good & learn), n * ~is_good))
+        for j, at in enumerate(paths[g]):
+            failed = (steps > np.array(at)).any(axis=1) & is_good & ~learn
+            lost = {s: int(n[failed & np.array([r["stratum"] == s for r in own])].sum()) for s in members}
+            if len(members) > 1 and any(k > risk * tested[s] for s, k in lost.items()):
+                break
+            tests.append(f"({g}, {j}, {sum(lost.values())}L, {sum(tested[s] for s in members)}L)")
+    if not tests:
+        return []
+    listed = features.sparkSession.sql(f"select * from values {', '.join(tests)} as t(pool, step, k, n)")  # at most strata x cutoffs rows
+    passed = {(r["pool"], r["step"]) for r in listed.where(upper_tail("k", "n", str(risk)) <= delta / len(groups)).collect()}
+    out = []
+    for g, members in enumerate(groups):
+        last = None
+        for j, at in enumerate(paths[g]):
+            if (g, j) not in passed:
+                break
+            last = at
+        if last:
+            out += [(s, r, float(cuts[i])) for s in members for i, (r, (_, cuts)) in zip(last, RULES.items()) if i < len(cuts)]
+    return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """docs with the features, base_failed and kept. Features are computed once and kept as a table."""
     features = cut(quality_features(docs), "quality")
-    rows = thresholds(features, labels, risk, delta).collect()  # at most strata x rules
     s = stratum()
-    broken = [(s == r["stratum"]) & (_ratio(r["rule"]) > r["cutoff"]) for r in rows]
+    broken = [(s == name) & (_ratio(rule) > cutoff) for name, rule, cutoff in thresholds(features, labels, risk, delta)]
     fails = reduce(lambda a, b: a | b, broken, F.lit(False))
     return features.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~fails)

@@ -238,6 +238,35 @@ def test_quality_thresholds(spark, empty):
     assert quality.judge(empty, labels).count() == 0
 
 
+def test_quality_rules_are_on_with_few_labels(spark):
+    from plumbline.llm import quality
+
+    def text(i, n, mark=""):
+        return " ".join(f"w{i}x{j}{mark}" for j in range(n))
+
+    # 25 good documents of 1125 have long words: more than the risk, so the rule on long words stops before them
+    good = [(i, text(i, 60)) for i in range(1100)] + [(2000 + i, text(i, 300)) for i in range(900)] + [(4000 + i, text(i, 1000)) for i in range(60)]
+    odd = [(5000 + i, text(i, 60, "abcdefghijklmnopqrst")) for i in range(25)]
+    bad = [(6000 + i, text(i, n, "#")) for i, n in enumerate([60] * 50 + [300] * 50 + [1000] * 20)]
+    docs = spark.createDataFrame(good + odd + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d < 6000)) for d, _ in good + odd + bad], "doc_id long, quality int")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+    assert all(kept[d] for d, _ in good + odd) and not any(kept[d] for d, _ in bad)
+
+
+def test_quality_risk_holds_for_all_rules_together():
+    from plumbline.llm import quality
+
+    assert quality.pools({"short": 1159, "middle": 1812, "long": 272}) == [["short"], ["middle", "long"]]
+    assert quality.pools({"short": 30, "middle": 0, "long": 20}) == [["short", "long"]] and quality.pools({}) == []
+    steps = np.array([[0, 0, 0, 0, 0], [7, 0, 0, 0, 0], [0, 3, 0, 0, 0]])
+    way = quality.path(steps, np.array([100, 0, 5]), np.array([0, 40, 1]))
+    # what costs nothing comes first, what rejects good documents last, and each step is one cutoff of one rule
+    assert way[0] == (6, 6, 6, 5, 5) and way[-1] == (0,) * 5 and len(way) == sum(len(c) for _, c in quality.RULES.values())
+    assert [a[1] >= 3 for a in way] == [True] * (len(way) - 3) + [False] * 3
+    assert all(sum(x) - sum(y) == 1 for x, y in zip(way, way[1:]))
+
+
 def test_language(docs, rows, empty):
     from plumbline.llm import langid
     from plumbline.llm.queries import held_out
