@@ -43,20 +43,53 @@ _PATTERNS = {
     "phone": r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))",
     "person": r"(?P<person>(?<!\w)(?:" + "|".join(_TITLES) + rf")\.? {_NAME}(?: {_NAME})?)",
 }
+#: Digits of national numbers by country code, where all have the same.
+_NATIONAL = {"1": 10, "7": 10, "33": 9, "34": 9, "44": 10, "45": 8, "47": 8, "48": 9, "51": 9, "52": 10, "57": 10, "61": 9, "65": 8, "86": 11, "91": 10, "351": 9}
+LEAST_DIGITS, MOST_DIGITS = 7, 15
+#: What a phone's next group may begin in its place: an address, card, social security number, other phone or date; and a year.
+_NEXT = re.compile(
+    r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)|(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w]|\.\d)"
+    r"|\d{3}-\d{2}-\d{4}(?![\w-])|\d{3}[.-]\d{3}[.-]\d{4}(?!\w)|(?:19|20)\d\d[./-]\d\d?[./-]\d\d?(?!\d)|\d\d?[./-]\d\d?[./-](?:19|20)\d\d(?!\d)"
+)
+_YEAR = re.compile(r"(?:19|20)\d\d(?!\d)")
 _ALL = re.compile("|".join(_PATTERNS.values()))
 _NUMBERS = re.compile("|".join(p for k, p in _PATTERNS.items() if k != "person"))
+_DIGITS = re.compile(r"[0-9]+")
 _SIGN = re.compile(r"[0-9@]|(?i:token|secret|passw|key)")
 
 
+def _phone_end(text: str, start: int, end: int) -> int:
+    """Where the phone in text[start:end], which may have taken groups of what follows it, ends: at a blank after a whole national number, before another entity or a year, or within 15 digits."""
+    groups = [m.span() for m in _DIGITS.finditer(text, start, end)]
+    digits = "".join(text[a:b] for a, b in groups)
+    if text[start] != "+" or len(digits) <= LEAST_DIGITS:
+        return end
+    code = next((c for c in (digits[:1], digits[:2], digits[:3]) if c in _NATIONAL), None)
+    before, last = 0, end
+    for (a, b), (c, _) in zip(groups, groups[1:]):
+        before += b - a
+        if text[b:c] != " " or before < LEAST_DIGITS:
+            continue
+        if before > MOST_DIGITS:
+            break
+        if code and before - len(code) >= _NATIONAL[code] or _NEXT.match(text, c) or before >= 11 and _YEAR.match(text, c):
+            return b
+        last = b
+    return last if len(digits) > MOST_DIGITS else end
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) in a text, left to right, without overlap."""
     titled = any(t in text for t in _TITLES)
     if not titled and not _SIGN.search(text):
         return []
-    out = []
-    for m in (_ALL if titled else _NUMBERS).finditer(text):
+    out, pattern, at = [], _ALL if titled else _NUMBERS, 0
+    while m := pattern.search(text, at):
         group = m.lastgroup
         start, end = m.span(group)
+        at = m.end()
+        if group == "phone":
+            at = end = _phone_end(text, start, end)
         out.append((start, end, group.removesuffix("2")))
     return out
 

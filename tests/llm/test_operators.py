@@ -446,6 +446,28 @@ def test_surrogates(spark, empty):
     assert pii.pseudonymise(empty).count() == 0
 
 
+def test_phones_stop_before_what_follows(spark):
+    from plumbline.llm import pii
+
+    def found(text):
+        return [(k, text[a:b]) for a, b, k in pii.find(text)]
+
+    us, de = "+1 (826) 555-4081", "+49 30 1234567"
+    for phone in (us, de):
+        for kind, other in [("ip", "190.137.223.204"), ("card", "4539 5787 6362 1486"), ("card", "4539578763621486"), ("ssn", "123-45-6789"), ("phone", "555-123-4567"), ("phone", us), ("phone", de), ("email", "12ann@mail.com")]:
+            assert found(f"call {phone} {other} now") == [("phone", phone), (kind, other)]
+            assert found(f"call {other} {phone} now") == [(kind, other), ("phone", phone)]
+    for rest in ("2024", "2024-01-02", "25 people"):
+        assert found(f"{us} {rest}") == [("phone", us)]
+    assert found("+34 612 345 678 2024") == [("phone", "+34 612 345 678")] and found(de + " 2.11.2024") == [("phone", de)]
+    # year-like and address-like groups of a number stay in it
+    for whole in ("+44 20 1946 2024", "+49 30 1234 2024", "+41 44.668.18.00", "+32 22.123.45.67", "+86 138 1234 2012", "+34 91 234 20 24"):
+        assert found(whole) == [("phone", whole)], whole
+    docs = spark.createDataFrame([(1, f"{us} 190.137.223.204"), (2, f"at 190.137.223.204 or {us} 2024")], "doc_id long, text string")
+    a, b = (r["text"] for r in sorted(pii.pseudonymise(docs).collect()))
+    assert a.rsplit(" ", 1)[1] == b.split()[1] != "190.137.223.204" and b.endswith(a.rsplit(" ", 1)[0] + " 2024") and "555-4081" not in a
+
+
 def test_surrogates_collide_and_are_told_apart(spark, monkeypatch):
     from plumbline.llm import pii
 
