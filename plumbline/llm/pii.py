@@ -8,7 +8,8 @@ truth, bank accounts their country; persons get a name of their title's gender i
 
 Equal entities get one surrogate wherever they stand (coreference). All distinct entities of the table
 are checked: where two would share a surrogate, or one is itself an entity of the table, all but the
-first try again, until none collide. What differs from the first attempt is few and goes to the tasks as
+first try again, until none collide. Where a form has too few surrogates for its entities, those that are
+left after ``WIDE_FROM`` attempts get a wider form: any octets, a further label of the domain, more characters. What differs from the first attempt is few and goes to the tasks as
 a table of checked size, or by a join on documents beyond it.
 
 Null text stays null, and empty stays empty; texts without entities are returned unchanged; other columns
@@ -29,6 +30,8 @@ from .common import cut
 
 KEY = b"plumbline"
 MAX_EXCEPTIONS, MAX_ATTEMPTS = 50_000, 40
+#: From this attempt on, surrogates are wider than their entity: any octets, or more characters with each attempt.
+WIDE_FROM = 20
 
 #: Titles, and the gender that they tell.
 _TITLES = {"Mr": "m", "Herr": "m", "Señor": "m", "Don": "m", "Monsieur": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Doña": "f", "Madame": "f", "Mme": "f", "Sra": "f", "Dr": "n", "Prof": "n", "г-н": "m", "г-жа": "f"}
@@ -147,51 +150,54 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10
 
 
-def _name(r: _Stream, gender: str, script: str) -> str:
+def _name(r: _Stream, gender: str, script: str, more: int = 0) -> str:
     consonants, vowels, ends = ("bcdfglmnprstv", "aeiou", {"m": ("o", "en", "us"), "f": ("a", "ia", "ine"), "n": ("el", "is", "ey")}) if script == "latin" else ("бвгдклмнпрст", "аеиоу", {"m": ("ов", "ин", "ан"), "f": ("ова", "ина", "ая"), "n": ("ко", "ич", "ер")})
-    body = "".join(consonants[r.below(len(consonants))] + vowels[r.below(len(vowels))] for _ in range(2 + r.below(2)))
+    body = "".join(consonants[r.below(len(consonants))] + vowels[r.below(len(vowels))] for _ in range(2 + r.below(2) + more))
     return (body + consonants[r.below(len(consonants))] + ends[gender][r.below(3)]).capitalize()
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The normalised entity's replacement, in normalised form."""
     r = _Stream(key, kind, entity, attempt)
+    more = max(0, attempt - WIDE_FROM + 1)
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity):
             alphabet = "0123456789abcdef" if entity == entity.lower() else "0123456789ABCDEF"
-            return "".join(alphabet[r.below(16)] for _ in entity)
+            return "".join(alphabet[r.below(16)] for _ in range(len(entity) + more))
         head = re.match(r"AKIA|gh[pousr]_|sk-|", entity)[0]
-        return head + _like(entity[len(head) :], r)
+        return head + _like(entity[len(head) :] + "a" * 4 * more, r)
     if kind == "email":
         local, _, domain = entity.partition("@")
         labels = domain.split(".")
-        return _like(local, r) + "@" + ".".join([*(_like(x, r) for x in labels[:-1]), labels[-1]])
+        return _like(local, r) + "@" + ".".join([*(_like(x, r) for x in labels[:-1]), *([_like("a" * 4 * more, r)] if more else []), labels[-1]])
     if kind == "ip":
+        if more:
+            return ".".join(str(r.below(256)) for _ in range(4))
         return ".".join(str((1 + r.below(9), 10 + r.below(90), 100 + r.below(155))[len(x) - 1]) for x in entity.split("."))
     if kind == "card":
-        body = entity[0] + "".join(str(r.below(10)) for _ in entity[2:])
+        body = entity[0] + "".join(str(r.below(10)) for _ in range(len(entity) - 2 + more))
         check = (-_luhn(body + "0")) % 10
         return body + str(check if _luhn(entity) == 0 else (check + 1 + r.below(9)) % 10)
     if kind == "iban":
-        body = _like(entity[4:], r)
+        body = _like(entity[4:] + "0" * more, r)
         return entity[:2] + f"{98 - int(''.join(str(int(c, 36)) for c in body + entity[:2] + '00')) % 97:02d}" + body
     if kind == "phone":
-        return entity[0] + "".join(str(r.below(10)) for _ in entity[1:])
+        return entity[0] + "".join(str(r.below(10)) for _ in range(len(entity) - 1 + more))
     if kind == "person":
         gender, _, name = entity.partition(" ")
         script = "latin" if all(ord(c) < 0x370 for c in name) else "cyrillic"
-        return f"{gender} " + " ".join(_name(r, gender if i == 0 else "n", script).casefold() for i, _ in enumerate(name.split()))
-    return _like(entity, r)
+        return f"{gender} " + " ".join(_name(r, gender if i == 0 else "n", script, more).casefold() for i, _ in enumerate(name.split()))
+    return _like(entity + "0" * more, r)
 
 
 def render(kind: str, found: str, core: str) -> str:
     """A surrogate written as the entity was: with its separators, case and title."""
     if kind in ("card", "ssn", "phone"):
         digits = iter(core)
-        return "".join(next(digits) if c.isdigit() else c for c in found)
+        return "".join([next(digits) if c.isdigit() else c for c in found] + list(digits))
     if kind == "iban":
         chars = iter(core)
-        return "".join(c if c == " " else next(chars) for c in found)
+        return "".join([c if c == " " else next(chars) for c in found] + list(chars))
     if kind == "email":
         return core.upper() if found.isupper() else core
     if kind == "person":

@@ -480,6 +480,21 @@ def test_surrogates_collide_and_are_told_apart(spark, monkeypatch):
         assert len(set(got)) == 2000 and not set(got) & set(texts)
 
 
+def test_surrogates_widen_when_their_form_is_used_up(spark, monkeypatch):
+    from plumbline.llm import pii
+
+    # 9 ** 4 forms of one-digit octets less 4500 entities are too few for 4500 surrogates; a secret of dashes alone has none of its form
+    monkeypatch.setattr(pii, "WIDE_FROM", 3)
+    texts = [f"at {i // 729 % 9 + 1}.{i // 81 % 9 + 1}.{i // 9 % 9 + 1}.{i % 9 + 1} ok" for i in range(4500)] + ["password = ------------ ok"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymise(docs).collect()]
+    assert len(set(got)) == len(set(texts)) == 4501 and not set(got) & set(texts)
+    for kind, found in [("email", "a@b.de"), ("phone", "+1 12 12"), ("card", "4539 5787 6362 1486"), ("ssn", "123-45-6789"), ("iban", "DE44500105175407324931"), ("secret", "a" * 12), ("person", "Mr Li")]:
+        entity = pii.normal(kind, found)
+        forms = {pii.render(kind, found, pii.surrogate(b"k", kind, entity, n)) for n in range(3, 9)}
+        assert len(forms) == 6 and all(len(x) > len(found) for x in forms)
+
+
 def test_components(spark):
     from plumbline.llm.graph import components
 
