@@ -4,7 +4,8 @@ Entities are found by patterns: addresses of mail, IPv4, payment cards, phones,
 bank account numbers, secrets (assigned tokens and well-known key forms) and persons after a title.
 A surrogate is a keyed hash of kind, normalised entity and attempt, rendered in the entity's form:
 separators, case, length and character classes stay; cards keep their issuer digit and their checksum's
-truth, bank accounts their country; persons get a name of their title's gender in their script.
+truth, bank accounts their country; persons get a name of their title's gender in their script. Bare
+mentions of a titled person in the same text, and parts of the name, get the same name or its parts.
 
 Equal entities get one surrogate wherever they stand (coreference). All distinct entities of the table
 are checked: where two would share a surrogate, or one is itself an entity of the table, all but the
@@ -35,7 +36,12 @@ WIDE_FROM = 20
 
 #: Titles, and the gender that they tell.
 _TITLES = {"Mr": "m", "Herr": "m", "Señor": "m", "Don": "m", "Monsieur": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Doña": "f", "Madame": "f", "Mme": "f", "Sra": "f", "Dr": "n", "Prof": "n", "г-н": "m", "г-жа": "f"}
-_NAME = r"[^\W\d_a-zа-яё][^\W\d_]+"
+_PARTICLES = ("van", "von", "der", "den", "de", "del", "di", "da", "la", "le", "bin", "al", "y", "zu")
+_UPPER = r"[^\W\d_a-zа-яё]"
+#: A part of a name, with hyphens and apostrophes before capitals; and initials.
+_PART = rf"(?!(?:{'|'.join(_TITLES)})\b){_UPPER}(?:[^\W\d_]|['’-](?={_UPPER}))+"
+_INITIAL = rf"{_UPPER}\.(?= {_UPPER})"
+_NAME = rf"(?:{_INITIAL} )*{_PART}(?: (?:(?:{'|'.join(_PARTICLES)}) ){{0,2}}(?:{_INITIAL}|{_PART})){{0,3}}"
 _PATTERNS = {
     "secret": r"(?:(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_\-/+]{12,}))|(?P<secret2>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9\-]{20,}|[0-9a-fA-F]{32,64})\b)",
     "email": r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)",
@@ -44,7 +50,7 @@ _PATTERNS = {
     "card": r"(?P<card>(?<![\w.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w]|\.\d))",
     "ssn": r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
     "phone": r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))",
-    "person": r"(?P<person>(?<!\w)(?:" + "|".join(_TITLES) + rf")\.? {_NAME}(?: {_NAME})?)",
+    "person": r"(?P<person>(?<!\w)(?:" + "|".join(_TITLES) + rf")\.? {_NAME})",
 }
 #: Digits of national numbers by country code, where all have the same.
 _NATIONAL = {"1": 10, "7": 10, "33": 9, "34": 9, "44": 10, "45": 8, "47": 8, "48": 9, "51": 9, "52": 10, "57": 10, "61": 9, "65": 8, "86": 11, "91": 10, "351": 9}
@@ -111,6 +117,74 @@ def normal(kind: str, found: str) -> str:
     return found
 
 
+def _within(parts: tuple[str, ...], whole: tuple[str, ...]) -> tuple[int, ...] | None:
+    """Places of the parts in the whole name, in its order."""
+    at, out = 0, []
+    for p in parts:
+        if p not in whole[at:]:
+            return None
+        at = whole.index(p, at) + 1
+        out.append(at - 1)
+    return tuple(out)
+
+
+def mentions(text: str) -> list[tuple[int, int, str, str, tuple[int, ...] | None]]:
+    """Spans (start, end, kind, entity, which parts of a person's name) in a text, left to right: what find() finds, and bare mentions of its persons and of parts of their names.
+
+    A name belongs to the longest name of the text that holds its parts in order and may be of its gender, of several the last that was named before."""
+    spans = find(text)
+    if all(k != "person" for *_, k in spans):
+        return [(a, b, k, normal(k, text[a:b]), None) for a, b, k in spans]
+    titled, genders = {}, {}
+    for a, b, kind in spans:
+        if kind == "person":
+            gender, *parts = normal(kind, text[a:b]).split(" ")
+            titled[a] = gender, tuple(parts)
+            genders.setdefault(tuple(parts), set()).add(gender)
+    # one name with a title that tells no gender and one that does is one person
+    known = {p: g - {"n"} if len(g) == 2 and "n" in g else g for p, g in genders.items()}
+    names: dict[tuple[str, tuple[str, ...]], int] = {}
+    for a, (gender, parts) in titled.items():
+        names.setdefault((gender if gender in known[parts] else min(known[parts]), parts), a)
+    holders: dict[str, list[tuple[str, tuple[str, ...]]]] = {}
+    for name in names:
+        for p in dict.fromkeys(name[1]):
+            holders.setdefault(p, []).append(name)
+
+    def owner(parts: tuple[str, ...], gender: str, at: int) -> tuple[str, tuple[int, ...]] | None:
+        best = None
+        for g, whole in holders.get(parts[-1], ()):
+            if "n" in (g, gender) or g == gender:
+                which, first = _within(parts, whole), names[g, whole]
+                rank = (len(whole), first <= at, first if first <= at else -first)
+                if which is not None and (best is None or rank > best[0]):
+                    best = rank, f"{g} {' '.join(whole)}", which
+        return best and best[1:]
+
+    words = {w for a, b, k in spans if k == "person" for w in text[a:b].split(" ")[1:] if len(w) > 1 and w[0] != w[0].lower() and not w.endswith(".")}
+    some = "|".join(map(re.escape, sorted(words | {w.upper() for w in words}, key=lambda w: (-len(w), w))))
+    bare = re.compile(rf"(?<!\w)(?:{some})(?: (?:(?:{'|'.join(_PARTICLES)}) )*(?:{some}))*(?!\w)")
+    out, last = [], 0
+    for start, end, kind in [*spans, (len(text), len(text), "")]:
+        for m in bare.finditer(text, last, start):
+            a, found = m.start(), tuple(m[0].casefold().split(" "))
+            whose = owner(found, "n", a)
+            if whose:
+                out.append((a, m.end(), "person", *whose))
+                continue
+            for w in re.finditer(r"[^ ]+", m[0]):  # parts of several names
+                whose = w[0] not in _PARTICLES and owner((w[0].casefold(),), "n", a)
+                if whose:
+                    out.append((a + w.start(), a + w.end(), "person", *whose))
+        if kind == "person":
+            gender, parts = titled[start]
+            out.append((start, end, kind, *owner(parts, gender if gender in known[parts] else min(known[parts]), start)))
+        elif kind:
+            out.append((start, end, kind, normal(kind, text[start:end]), None))
+        last = end
+    return out
+
+
 class _Stream:
     """Keyed pseudo-random numbers for one entity and attempt."""
 
@@ -156,6 +230,17 @@ def _name(r: _Stream, gender: str, script: str, more: int = 0) -> str:
     return (body + consonants[r.below(len(consonants))] + ends[gender][r.below(3)]).capitalize()
 
 
+def _part(r: _Stream, part: str, gender: str, script: str, more: int) -> str:
+    """A part of a name; its hyphens, apostrophes and initials stay such."""
+
+    def new(m: re.Match) -> str:
+        if len(m[0]) > 1:
+            return _name(r, gender, script, more).casefold()
+        return chr(97 + r.below(26)) if script == "latin" else chr(0x430 + r.below(32))
+
+    return re.sub(r"[^\W\d_]+", new, part)
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The normalised entity's replacement, in normalised form."""
     r = _Stream(key, kind, entity, attempt)
@@ -185,13 +270,14 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         return entity[0] + "".join(str(r.below(10)) for _ in range(len(entity) - 1 + more))
     if kind == "person":
         gender, _, name = entity.partition(" ")
-        script = "latin" if all(ord(c) < 0x370 for c in name) else "cyrillic"
-        return f"{gender} " + " ".join(_name(r, gender if i == 0 else "n", script, more).casefold() for i, _ in enumerate(name.split()))
+        script = "latin" if all(ord(c) < 0x370 or c == "’" for c in name) else "cyrillic"
+        parts = name.split()
+        return f"{gender} " + " ".join(p if p in _PARTICLES and 0 < i < len(parts) - 1 else _part(r, p, gender if i == 0 else "n", script, more) for i, p in enumerate(parts))
     return _like(entity + "0" * more, r)
 
 
-def render(kind: str, found: str, core: str) -> str:
-    """A surrogate written as the entity was: with its separators, case and title."""
+def render(kind: str, found: str, core: str, which: tuple[int, ...] | None = None) -> str:
+    """A surrogate written as the entity was: with its separators, case and title, and those parts of a name that stood there."""
     if kind in ("card", "ssn", "phone"):
         digits = iter(core)
         return "".join([next(digits) if c.isdigit() else c for c in found] + list(digits))
@@ -201,9 +287,10 @@ def render(kind: str, found: str, core: str) -> str:
     if kind == "email":
         return core.upper() if found.isupper() else core
     if kind == "person":
-        title, name = found.split(" ", 1)
-        new = core.split(" ", 1)[1]
-        return f"{title} " + (new.upper() if name.isupper() else new.title())
+        words, new = found.split(" "), core.split(" ")[1:]
+        which = range(len(new)) if which is None else which
+        title, words = words[: len(words) - len(which)], words[len(words) - len(which) :]
+        return " ".join([*title, *(x if w == w.lower() else x.upper() if w.isupper() else x.title() for w, x in zip(words, (new[i] for i in which)))])
     return core
 
 
@@ -216,7 +303,7 @@ def entities(docs: DataFrame) -> DataFrame:
             new = set()
             for text in batch.column(0).to_pylist():
                 if text:
-                    new.update((k, normal(k, text[a:b])) for a, b, k in find(text))
+                    new.update((k, entity) for _, _, k, entity, _ in mentions(text))
             new -= seen
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*new)], ["kind", "entity"])
@@ -263,7 +350,7 @@ def replace(docs: DataFrame, table: DataFrame, key: bytes = KEY) -> DataFrame:
 
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = {(c, k, normal(k, t[a:b])) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for a, b, k in find(t)}
+                found = {(c, k, entity) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for _, _, k, entity, _ in mentions(t)}
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.string(), pa.string()))], ["_copy", "kind", "entity"])
 
@@ -278,15 +365,14 @@ def replace(docs: DataFrame, table: DataFrame, key: bytes = KEY) -> DataFrame:
             texts, counts = [], []
             own = batch.column("_own").to_pylist() if "_own" in batch.schema.names else None
             for i, text in enumerate(batch.column(at).to_pylist()):
-                spans = find(text) if text else []
+                spans = mentions(text) if text else []
                 counts.append(len(spans))
                 if spans:
                     parts, last = [], 0
                     local = dict(own[i] or ()) if own else {}
-                    for a, b, kind in spans:
-                        entity = normal(kind, text[a:b])
+                    for a, b, kind, entity, which in spans:
                         core = known.get((kind, entity)) or local.get(f"{kind}\x00{entity}") or surrogate(key, kind, entity, 0)
-                        parts += [text[last:a], render(kind, text[a:b], core)]
+                        parts += [text[last:a], render(kind, text[a:b], core, which)]
                         last = b
                     text = "".join([*parts, text[last:]])
                 texts.append(text)

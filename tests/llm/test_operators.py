@@ -446,6 +446,30 @@ def test_surrogates(spark, empty):
     assert pii.pseudonymise(empty).count() == 0
 
 
+def test_persons_stay_one_within_a_text(spark):
+    from plumbline.llm import pii
+
+    texts = [
+        "Anna said: Mrs. Anna Schmidt left. Anna Schmidt wrote, SCHMIDT read.", "Dr. Anna Maria Lopez and Mrs. Smith-Jones saw Mr. O'Brien.", "Mr. John Smith met Mr. Smith; Mrs. Smith did not.",
+        "Mr. J. F. Kennedy Mrs. Lee", "Herr Ludwig van Beethoven kam. Ludwig van Beethoven ging, Beethoven blieb.", "Dr. Anna Schmidt is Mrs. Anna Schmidt, not Mrs. Rosa Schmidt. Anna Rosa", "Mr. Van left", "no title: Anna Schmidt",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs).collect()}
+    text = {d: r["text"] for d, r in got.items()}
+    first, full, bare, last = re.fullmatch(r"(\w+) said: Mrs. (\w+ \w+) left. (\w+ \w+) wrote, (\w+) read.", text[0]).groups()
+    assert full == bare and full.split() == [first, last.title()] and last.isupper() and got[0]["n_entities"] == 4
+    assert re.fullmatch(r"Dr. \w+ \w+ \w+ and Mrs. [A-Z]\w+-[A-Z]\w+ saw Mr. [A-Z]'[A-Z]\w+.", text[1]) and got[1]["n_entities"] == 3
+    assert not re.search("Anna|Maria|Lopez|Smith|Jones|Brien", text[1])
+    a, b, c = re.fullmatch(r"Mr. \w+ (\w+) met Mr. (\w+); Mrs. (\w+) did not.", text[2]).groups()
+    assert a == b != c and "Smith" not in text[2]
+    assert re.fullmatch(r"Mr. [A-Z]. [A-Z]. [A-Z][a-z]+ Mrs. [A-Z][a-z]+", text[3]) and not re.search("Kennedy|Lee", text[3])
+    a, b, c = re.fullmatch(r"Herr (\w+ van \w+) kam. (\w+ van \w+) ging, (\w+) blieb.", text[4]).groups()
+    assert a == b and a.endswith(f" {c}") and "Beethoven" not in text[4]
+    a, b, c, d, e = re.fullmatch(r"Dr. (\w+ \w+) is Mrs. (\w+ \w+), not Mrs. (\w+ \w+). (\w+) (\w+)", text[5]).groups()
+    assert a == b != c and a.split()[0] == d and c.split()[0] == e
+    assert "Van" not in text[6] and text[7] == texts[7]
+
+
 def test_phones_stop_before_what_follows(spark):
     from plumbline.llm import pii
 
