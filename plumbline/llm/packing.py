@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, w
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
-    """The pieces, with sequence_id and offset: the packed corpus."""
+    """The pieces with sequence_id and offset, without their ids: where each piece lies. ``with_ids`` makes the packed corpus of it."""
     spark = docs.sparkSession
     units = length // grain
     # ids take no part in the plan: with_ids joins them to it
@@ -179,5 +179,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, gra
 
 def with_ids(docs: DataFrame, tokenizer: str, end_id: int, packed: DataFrame, length: int = LENGTH) -> DataFrame:
     """The packed pieces with their ids, for writers of training files."""
-    ids = pieces(docs, tokenizer, end_id, length, True).select("doc_id", "copy", "start", "ids").dropDuplicates(["doc_id", "copy", "start"])
-    return packed.join(ids, ["doc_id", "copy", "start"])
+    ids = pieces(docs, tokenizer, end_id, length, True).select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), F.col("start").alias("_start"), "ids").dropDuplicates(["_doc", "_copy", "_start"])
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy")) & (F.col("start") == F.col("_start"))
+    return packed.join(ids, same).select(*packed.columns, "ids")

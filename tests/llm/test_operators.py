@@ -342,6 +342,23 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, path, 1).count() == 0
 
 
+def test_packed_pieces_get_their_ids(spark):
+    import public_tokenizers
+
+    from plumbline.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [(None, "no id " * 1500), (None, "no id either"), (None, None), (1, "one"), (1, "one"), (1, "another"), (2, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    packed = packing.pack(docs, path, 1)
+    got = packing.with_ids(docs, path, 1, packed)
+    assert got.columns == [*packed.columns, "ids"] and got.drop("ids").exceptAll(packed).isEmpty() and got.count() == packed.count() > len(texts)
+    width = packing.encoder(path).dtype.itemsize
+    for r in got.collect():
+        ids = np.frombuffer(r["ids"], f"<u{width}").astype("<u4")
+        assert len(ids) == r["length"] and zlib.crc32(ids.tobytes()) == r["ids_crc32"]
+
+
 def test_mixing(docs, rows, empty):
     from plumbline.llm import mixing
 
