@@ -96,7 +96,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 3) -> list[np.n
             x = np.sort(s[a : b - k + 1])
             out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
         elif b > a:
-            out.append(mix(h[a:b].cumsum()[-1:] * U(31) + h[a : a + 1] * U(b - a)))
+            out.append(mix(window_hashes(h[a:b], b - a) + U(b - a) * U(31)))
         else:
             out.append(np.zeros(0, U))
     return out

@@ -147,6 +147,15 @@ def test_jaccard_odd_rows(spark, empty):
     assert sorted(r["doc_id"] or 0 for r in jaccard_join.one_of_each(odd).collect()) == [0, 1, 4]
 
 
+def test_short_texts_are_told_apart(spark):
+    from plumbline.llm import jaccard_join
+
+    texts = ["a b c d", "a c b d", "A  b c\td", "a b c", "a", "a a", "a a a", "b a c d", "d c b a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_components(docs, 80, 5).collect()}
+    assert got == {i: 0 if i == 2 else i for i in range(len(texts))}
+
+
 def test_dual_join_equals_all_pairs():
     from plumbline.llm.jaccard_join import Rule, _forest, dual_join
 
