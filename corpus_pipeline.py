@@ -27,7 +27,7 @@ def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document once for each pass over its source, or the part of it that the pass takes."""
+    """The mix in slot order: a document once for each pass over its source, or the part of it that the pass takes."""
     return mixing.mixed_documents(docs)
 
 

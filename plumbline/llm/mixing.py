@@ -129,11 +129,13 @@ def taken(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return lined.join(sums, "key", "left").select("doc_id", "size", "source_size", "target", F.coalesce("t", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The mix as documents: for each document and pass one row, with the whole text where the pass takes all of it, else the run of words that it takes, joined by one space. Columns as in docs."""
+def mixed_documents(docs: DataFrame, block: int = BLOCK, with_slot: bool = False) -> DataFrame:
+    """The mix as documents: for each document and pass one row, with the whole text where the pass takes all of it, else the run of words that it takes, joined by one space.
+
+    Columns as in docs, and ``slot`` if asked for: the first slot of the row's words. Rows are in slot order, so that files written from them are interleaved by source."""
     _, pieces = mix(docs, block)
-    runs = pieces.groupBy("doc_id", "copy", "key", "pass").agg(F.min("word").cast("int").alias("a"), F.sum("words").cast("int").alias("n"))
-    runs = runs.groupBy("doc_id", "copy", "key").agg(F.collect_list(F.struct("pass", "a", "n")).alias("runs"))
+    runs = pieces.groupBy("doc_id", "copy", "key", "pass").agg(F.min("word").cast("int").alias("a"), F.sum("words").cast("int").alias("n"), F.min("slot").alias("slot"))
+    runs = runs.groupBy("doc_id", "copy", "key").agg(F.collect_list(F.struct("pass", "a", "n", "slot")).alias("runs"))
     runs = runs.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "copy").orderBy("key"))).drop("key")
     full = docs.withColumn("copy", F.xxhash64("text"))
     full = full.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "copy").orderBy(F.lit(0))))
@@ -143,4 +145,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     part = F.array_join(F.slice(words, F.col("run.a") + 1, F.col("run.n")), " ")
     text = F.when((F.col("run.a") == 0) & (F.col("run.n") == F.col("size")), F.col("text")).otherwise(part)
     chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return joined.withColumn("text", text).select(*docs.columns).withColumns(chars)
+    named = [c for c in docs.columns if not (with_slot and c == "slot")]
+    order = [F.col("run.slot").alias("_slot"), F.col("run.pass").alias("_pass")]
+    out = joined.withColumn("text", text).select(*named, *order).withColumns(chars).orderBy("_slot", "_pass", "doc_id", F.xxhash64("text"))
+    return out.select(*named, *([F.col("_slot").alias("slot")] if with_slot else []))

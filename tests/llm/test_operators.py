@@ -396,6 +396,23 @@ def test_mixing(docs, rows, empty):
     assert mixing.taken(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mix_is_interleaved_by_source(spark):
+    from plumbline.llm import mixing
+
+    docs = spark.createDataFrame([(i, f"w{i} " * (20 + i % 50), "abc"[i // 300]) for i in range(900)], "doc_id long, text string, source string")
+    rows = mixing.mixed_documents(docs, block=64, with_slot=True).collect()
+    assert [r["slot"] for r in rows] == sorted(r["slot"] for r in rows)
+    assert [(r["doc_id"], r["text"]) for r in mixing.mixed_documents(docs, block=64).collect()] == [(r["doc_id"], r["text"]) for r in rows]
+    total, seen, marks = sum(len(_words(r["text"])) for r in rows), collections.Counter(), 0
+    for r in rows:
+        seen[r["source"]] += len(_words(r["text"]))
+        if sum(seen.values()) >= (marks + 1) * total / 10:
+            marks += 1
+            for source, share in (("a", 1 / 6), ("b", 2 / 6), ("c", 3 / 6)):
+                assert seen[source] / sum(seen.values()) == pytest.approx(share, abs=0.04), marks
+    assert marks == 10
+
+
 def test_warc(spark):
     from plumbline.llm import warc
 
