@@ -318,11 +318,31 @@ def _large(members: DataFrame, rule: Rule, parts: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
-    """docs without those that are linked with a smaller doc_id: the row of the smallest doc_id of each component stays, once for each doc_id; rows without shingles and without doc_id stay."""
+    """docs without those that are linked with a smaller doc_id: the smallest doc_id of each component stays.
+
+    Rows of one doc_id that stays, and rows without doc_id, are judged by their texts: of linked texts under one doc_id, or under none, the row of the
+    least hash stays, and different texts all do. Rows without shingles stay, but equal ones of a doc_id once."""
     found = link_components(docs, percent, k).where("doc_id is not null")
     gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+    repeated = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"), "repeated")
+    nameless = docs.where("doc_id is null")
     # the texts of these alone are shuffled
     near, clear = passing(docs.where("doc_id is not null"), cut(gone.union(repeated), "suspects"), "doc_id")
-    kept = near.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return clear.unionByName(kept).unionByName(docs.where("doc_id is null"))
+    kept = near.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty() and nameless.isEmpty():
+        return clear.unionByName(kept)
+    several = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).unionByName(nameless)
+    return clear.unionByName(kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)).unionByName(_of_texts(several, percent, k))
+
+
+def _of_texts(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """One row of each component of the texts under one doc_id, or under none."""
+    rows = cut(docs.withColumn("_node", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")).withColumn("_row", F.xxhash64(F.col("text").isNull(), *docs.columns)), "texts")
+    groups = link_components(rows.select(F.col("_node").alias("doc_id"), "text").dropDuplicates(["doc_id"]), percent, k)
+    joined = cut(rows.join(groups.select(F.col("doc_id").alias("_node"), F.col("component_id").alias("_group"), "n_shingles"), "_node"), "grouped")
+    # every row without shingles and doc_id stays
+    blank = joined.where("n_shingles = 0 and doc_id is null").select(*docs.columns)
+    judged = joined.where("n_shingles > 0 or doc_id is not null")
+    first = judged.groupBy("doc_id", "_group").agg(F.min(F.struct("_node", "_row")).alias("first")).select(F.col("_group").alias("_g"), F.col("doc_id").alias("_d"), "first._node", "first._row")
+    stay = judged.join(first, ["_node", "_row"]).where(F.col("_group").eqNullSafe(F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    return stay.dropDuplicates(["_node", "_row"]).select(*docs.columns).unionByName(blank)

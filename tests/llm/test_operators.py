@@ -147,6 +147,20 @@ def test_jaccard_odd_rows(spark, empty):
     assert sorted(r["doc_id"] or 0 for r in jaccard_join.one_of_each(odd).collect()) == [0, 1, 4]
 
 
+def test_one_doc_id_keeps_its_different_texts(spark):
+    from plumbline.llm import jaccard_join
+
+    rows = [(1, "a b c d", 1), (1, "e f g h", 2), (1, "a b c d", 3), (1, "A b c d", 4), (2, "i j k l", 5), (3, "i j k l", 6), (4, "x y z", 7), (None, "m n o p", 8), (None, "m n o p", 9), (None, "q r s t", 10), (None, "", 11), (None, "", 12), (5, None, 13), (5, None, 14)]
+    got = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, n long").repartition(3)
+        got.append(sorted(r["n"] for r in jaccard_join.one_of_each(docs).collect()))
+    assert got[0] == got[1]
+    kept = set(got[0])
+    assert len(kept) == len(got[0]) == 9 and {2, 5, 7, 10, 11, 12} <= kept
+    assert len(kept & {1, 3, 4}) == len(kept & {8, 9}) == len(kept & {13, 14}) == 1
+
+
 def test_short_texts_are_told_apart(spark):
     from plumbline.llm import jaccard_join
 
