@@ -111,11 +111,6 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def tasks(spark: SparkSession, rows: int, each: int, least: int = 1) -> int:
-    """Number of partitions that gives each about so many rows."""
-    return max(least, -(-rows // each))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -129,7 +124,7 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bloom(hashes: DataFrame, column: str, log2_words: int) -> np.ndarray:
     """A blocked Bloom filter with 2**log2_words 64-bit words over a long column.
 
-    Its size is fixed by log2_words (at most 2**20 words: 8 MB), whatever the input; a fuller
+    Its size is fixed by log2_words (at most 2**22 words: 32 MB), whatever the input; a fuller
     filter lets more candidates through, and exact steps follow, so results stay the same."""
     h = F.col(column)
     mask = F.lit(0).cast("long")
@@ -170,5 +165,5 @@ def passing(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, D
 
 
 def bloom_size(n: int) -> int:
-    """log2 of the words for about 16 bits a key, between 2**6 and 2**20 words."""
-    return min(20, max(6, int(np.ceil(np.log2(max(1, n) / 4)))))
+    """log2 of the words for about 16 bits a key, between 2**6 and 2**22 words."""
+    return min(22, max(6, int(np.ceil(np.log2(max(1, n) / 4)))))

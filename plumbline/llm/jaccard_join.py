@@ -1,15 +1,19 @@
 """N-gram Jaccard join by signature trees.
 
 Texts become sets of word shingles (64-bit hashes). Equal sets are one class, named by its smallest
-doc_id. Classes that may be linked share a block by the pigeonhole principle: for a size class,
-the hash space is cut into one more range than two linked sets can differ in shingles, so some range
-holds the same shingles in both; a block is such a range and its content. Blocks that meet give
-clusters of candidates, and each cluster is joined with a signature tree: nodes hold the OR of their
-members' token bitmaps and their range of sizes, and a dual traversal goes down only node pairs whose
-greatest possible overlap reaches the threshold and which aren't yet one component; leaves are verified
-on the sets themselves. Clusters beyond ``LEAF`` members are cut into nodes of the same tree that tasks
-join pair by pair: each node alone, each with the first, then pairs of which some members are
-still apart. Links are exact; only those that join two components are kept, as components need no others.
+doc_id. Candidates are exact in two steps. First, each set gives its least hashes, more of them than a linked set may lack:
+linked sets share ``slack`` of these, so classes of which fewer are seen in another class have no link. What is left is joined by
+its rarest shingles: of a set of n, those n - ceil(n * percent / 100) + 1 that stand in the fewest sets. Linked sets share one of
+them, and shingles that no other set has, which come first, make no block. A block is a shingle and the sets that have it
+among their rarest; blocks of the same sets are one.
+
+In each block all sets are verified with its least one, and links give components. Blocks whose sets are
+still apart are joined by a signature tree: nodes hold the OR of their members' token bitmaps, their
+range of sizes and of components, and a dual traversal goes down only node pairs whose greatest possible
+overlap reaches the threshold and which aren't one component. Its leaf pairs are verified on the
+sets themselves. Blocks beyond ``LEAF`` sets are cut into nodes by size band; pairs of nodes in equal or neighbouring bands are
+traversed in tasks of their own, which get bitmaps alone. Links are exact; only those that join two components are
+looked for, as components need no others.
 
 Null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle is
 one shingle; repeated rows are members of one class; rows with a null doc_id have no component (null);
@@ -23,13 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, passing, release, shuffle_partitions, slices
+from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, passing, slices
 from .graph import components
 from .words import mix, shingle_sets
 
 U = np.uint64
-BITS, LEAF, FAN = 2048, 128, 16
+#: Sets of a block that one task joins by a tree; children of a node; sets verified with one other in a task.
+LEAF, FAN, CHUNK = 4096, 16, 256
+#: Least and most bits of a bitmap, and bytes of bitmaps that a step of a traversal compares.
+LEAST_BITS, MOST_BITS, STEP = 1 << 11, 1 << 16, 1 << 22
 
 
 class Rule:
@@ -39,18 +47,23 @@ class Rule:
         if not 50 < percent <= 100:
             raise ValueError("percent must be above 50")
         self.percent, self.k = percent, k
-        bounds = [1]
-        while bounds[-1] < 1 << 40:
-            bounds.append(bounds[-1] * 100 // percent + 1)
-        self.bounds = np.array(bounds, np.int64)
 
-    def size_class(self, n: int) -> int:
-        return int(np.searchsorted(self.bounds, n, side="right")) - 1
+    def shared(self, n: int) -> int:
+        """Least number of its n shingles that a linked set has, too."""
+        return (self.percent * n + 99) // 100
 
-    def ranges(self, size_class: int) -> int:
-        """One more than the greatest symmetric difference of linked sets of which the larger is in the class: with union u, 100 * d <= (100 - percent) * u and u <= 200 / (100 + percent) * largest."""
-        largest = int(self.bounds[size_class + 1]) - 1
-        return 2 * (100 - self.percent) * largest // (100 + self.percent) + 1
+    def slack(self, n: int) -> int:
+        """How many of their sampled shingles linked sets have in common; for two sizes the smaller number holds."""
+        return max(1, ((100 - self.percent) * n + 199) // 200)
+
+    def sampled(self, n: int) -> int:
+        """Least hashes that a set of n shingles gives: with overlap o, the n - o + s least of two sets have s in common."""
+        return min(n, n - self.shared(n) + self.slack(n))
+
+    def seen(self, n: np.ndarray) -> np.ndarray:
+        """Least number of sampled shingles that a linked set of any size samples, too."""
+        least = (self.percent * n + 99) // 100
+        return np.minimum(np.maximum(1, ((100 - self.percent) * least + 199) // 200), n)
 
     def linked(self, both: int, a: int, b: int) -> bool:
         return 100 * both >= self.percent * (a + b - both)
@@ -63,260 +76,296 @@ def set_key(x: np.ndarray) -> tuple[int, int]:
     return int(mix(x).sum().view(np.int64)), int(mix(x + U(0x2545F4914F6CDD1D)).sum().view(np.int64))
 
 
-def signatures(x: np.ndarray, rule: Rule) -> np.ndarray:
-    """Block keys of a sorted set: for its size class and the next, a hash of what each range holds."""
-    if not len(x):
-        return np.zeros(0, U)
-    sums = np.zeros(len(x) + 1, U)
-    np.cumsum(mix(x ^ U(0xA0761D6478BD642F)), out=sums[1:])
-    out = []
-    own = rule.size_class(len(x))
-    for c in (own, own + 1):
-        m = rule.ranges(c)
-        ends = np.searchsorted(x, np.arange(1, m, dtype=U) * U((1 << 64) // m)) if m > 1 else np.zeros(0, np.int64)
-        at = np.concatenate(([0], ends, [len(x)]))
-        j = np.arange(m, dtype=U)
-        out.append(mix((sums[at[1:]] - sums[at[:-1]]) + mix(j * U(0x9E3779B97F4A7C15) + U(c))))
-    return np.concatenate(out)
-
-
 def sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, blocks): set size and name of each row, and its block keys as bytes."""
+    """(doc_id, n_shingles, k1, k2, sample): set size and name of each row, and its sampled shingles as bytes, once a task for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple[int, int]] = set()
         for batch in batches:
             data, offsets = flat(batch.column(1))
+            named = batch.column(0).is_valid().to_pylist()
             for i, j in slices(offsets):
-                n, k1, k2, blocks = [], [], [], []
-                for x in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.k):
-                    a, b = set_key(x)
+                n, k1, k2, sample = [], [], [], []
+                for r, x in zip(range(i, j), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.k)):
+                    key = set_key(x)
                     n.append(len(x))
-                    k1.append(a)
-                    k2.append(b)
-                    blocks.append(signatures(x, rule).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(blocks, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "blocks"])
+                    k1.append(key[0])
+                    k2.append(key[1])
+                    new = named[r] and len(x) > 0 and key not in given
+                    sample.append(x[: rule.sampled(len(x))].tobytes() if new else None)
+                    if new and len(given) < 1 << 19:
+                        given.add(key)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sample, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sample"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, blocks binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sample binary")
 
 
-def _exploded(rows: DataFrame, only: np.ndarray | None) -> DataFrame:
-    """(block, id) of rows (id, blocks); with a filter, of the blocks in it."""
-    kept = rows.sparkSession.sparkContext.broadcast(only)
+def _exploded(rows: DataFrame, content: str, *others: str) -> DataFrame:
+    """(token, others) of each 64-bit value in a binary column."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(1))
+            data, offsets = flat(batch.column(0))
             for i, j in slices(offsets, 1 << 20):
-                keys = data[offsets[i] : offsets[j]].view("<u8")
-                ids = np.repeat(batch.column(0).slice(i, j - i).to_numpy(), np.diff(offsets[i : j + 1]) // 8)
-                if kept.value is not None:
-                    on = in_bloom(kept.value, keys)
-                    keys, ids = keys[on], ids[on]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids)], ["block", "id"])
+                times = np.repeat(np.arange(i, j), np.diff(offsets[i : j + 1]) // 8)
+                yield pa.RecordBatch.from_arrays([pa.array(data[offsets[i] : offsets[j]].view("<i8")), *(batch.column(c).take(pa.array(times)) for c in others)], ["token", *others])
+
+    return rows.select(content, *others).mapInArrow(run, ", ".join(["token long", *(f"{c} {kinds[c]}" for c in others)]))
+
 
-    return rows.select("id", "blocks").mapInArrow(run, "block long, id long")
+def survivors(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(k1, k2, n_shingles) of the classes that may be linked: enough of their sample is sampled by other classes, too.
+
+    Shared shingles are passed to the tasks as a filter of fixed size; a fuller filter lets more classes through, and exact steps follow."""
+    given = rows.where("sample is not null")
+    shared = cut(_exploded(given, "sample", "k1").groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("token"), "shared")
+    words = rows.sparkSession.sparkContext.broadcast(bloom(shared, "token", bloom_size(shared.count())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column(0))
+            n = batch.column(3).to_numpy()
+            for i, j in slices(offsets, 1 << 20):
+                on = np.concatenate(([0], np.cumsum(in_bloom(words.value, data[offsets[i] : offsets[j]].view("<u8")))))
+                at = (offsets[i : j + 1] - offsets[i]) // 8
+                ok = on[at[1:]] - on[at[:-1]] >= rule.seen(n[i:j])
+                yield batch.slice(i, j - i).filter(pa.array(ok)).select(["k1", "k2", "n_shingles"])
+
+    return given.select("sample", "k1", "k2", "n_shingles").mapInArrow(run, "k1 long, k2 long, n_shingles long").distinct()
+
+
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """Bits at the hashes' low bits: a power of two of at least four for each member, up to MOST_BITS."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(x) - 1).bit_length()))
+    out = np.zeros(bits // 64, U)
+    low = (x & U(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(out, low >> 6, U(1) << (low & 63).astype(U))
+    return out
+
+
+def _sets_of(texts: DataFrame, rule: Rule) -> DataFrame:
+    """(id, n, tokens, bits) of rows (k1, k2, text), where id is k1. A text whose set isn't (k1, k2) is of another row of its doc_id and left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column(2))
+            k1, k2 = (batch.column(c).to_pylist() for c in ("k1", "k2"))
+            for i, j in slices(offsets):
+                rows = []
+                for r, x in zip(range(i, j), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.k)):
+                    if set_key(x) == (k1[r], k2[r]):
+                        rows.append((k1[r], len(x), x.tobytes(), bitmap(x).tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["id", "n", "tokens", "bits"])
+
+    return texts.select("k1", "k2", "text").mapInArrow(run, "id long, n long, tokens binary, bits binary")
+
+
+def prefixes(members: DataFrame, rule: Rule) -> DataFrame:
+    """(token, id, n): those of each set's rarest shingles that other sets have. Linked sets share one, as all sets are ordered by the same counts."""
+    tokens = _exploded(members, "tokens", "id", "n")
+    counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+    own = tokens.join(counts, "token")
+    own = own.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("c", "token"))).withColumn("others", F.count(F.lit(1)).over(W.partitionBy("id")))
+    # those that no other set has come before: n - others of them
+    return own.where(F.expr(f"place <= others - ({rule.percent} * n + 99) div 100 + 1")).select("token", "id", "n")
+
+
+def memberships(prefix: DataFrame) -> DataFrame:
+    """(token, id, n, lead, lead_n, m) of the blocks: of blocks with the same sets one stays. lead is the least set, m their number."""
+    blocks = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("lead"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("m > 1")
+    blocks = blocks.groupBy("m", "x", "y").agg(F.min(F.struct("token", "lead")).alias("b")).select("b.token", "m", F.col("b.lead.id").alias("lead"), F.col("b.lead.n").alias("lead_n"))
+    return prefix.join(cut(blocks, "blocks"), "token")
+
+
+def verified(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that are linked. A task holds one set, and streams those that are compared with it; CHUNK of them for each copy of it."""
+    pairs = cut(pairs, "pairs")
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    salted = pairs.join(cut(counts, "chunks"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"), "b")
+    salted = cut(salted, "salted")
+    ones = salted.select("a", "chunk").distinct().join(members.select(F.col("id").alias("a"), "tokens"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "tokens")
+    others = salted.join(members.select(F.col("id").alias("b"), "tokens"), "b").select("a", "chunk", "b", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = np.zeros(0, U)
+        for batch in batches:
+            data, offsets = flat(batch.column(3))
+            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            found = []
+            for i, j in enumerate(b):
+                x = data[offsets[i] : offsets[i + 1]].view("<u8")
+                if j is None:
+                    one = x.copy()
+                elif 100 * min(len(x), len(one)) >= rule.percent * max(len(x), len(one)) and rule.linked(len(np.intersect1d(one, x, assume_unique=True)), len(one), len(x)):
+                    found.append((a[i], j))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    spread = ones.unionByName(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+    return spread.select("a", "chunk", "b", "tokens").mapInArrow(run, "a long, b long")
 
 
 class Tree:
-    """A signature tree over sets: level 0 are members, each further level groups FAN nodes by OR of bitmaps, size range and least number of bits."""
-
-    def __init__(self, members: list[np.ndarray]):
-        n = len(members)
-        bits = np.zeros((n, BITS // 64), U)
-        for i, x in enumerate(members):
-            low = (x & U(BITS - 1)).astype(np.int64)
-            np.bitwise_or.at(bits[i], low >> 6, U(1) << (low & 63).astype(U))
-        size = np.array([len(x) for x in members], np.int64)
-        self.levels = [(bits, size, size, np.bitwise_count(bits).sum(axis=1).astype(np.int64))]
+    """A signature tree over sets, given by bitmaps of one width, sizes and components: level 0 are members, each further level groups FAN
+    nodes by OR of bitmaps, least number of bits, and ranges of sizes and components."""
+
+    def __init__(self, bits: np.ndarray, size: np.ndarray, seen: np.ndarray):
+        self.levels = [(bits, np.bitwise_count(bits).sum(axis=1).astype(np.int64), size, size, seen, seen)]
         while len(self.levels[-1][0]) > 1:
-            b, lo, hi, pop = self.levels[-1]
+            b, pop, *ranges = self.levels[-1]
             at = np.arange(0, len(b), FAN)
-            self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.minimum.reduceat(pop, at)))
+            self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), *(f.reduceat(x, at) for f, x in zip((np.minimum, np.minimum, np.maximum, np.minimum, np.maximum), (pop, *ranges)))))
 
+    def level(self, k: int) -> tuple[np.ndarray, ...]:
+        return self.levels[min(k, len(self.levels) - 1)]
 
-def tree_order(members: list[np.ndarray]) -> list[int]:
-    """Members by size, then by their least shingles, so that nodes hold alike sets."""
-    return sorted(range(len(members)), key=lambda i: (len(members[i]), members[i][:2].tolist()))
+    def below(self, k: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end of each node's children in the level below k; a root above the tree is its own child."""
+        if k >= len(self.levels):
+            return nodes, nodes + 1
+        return nodes * FAN, np.minimum((nodes + 1) * FAN, len(self.levels[k - 1][0]))
 
 
-def dual_join(a: list[np.ndarray], b: list[np.ndarray] | None, rule: Rule, find, union) -> None:
-    """Links between two trees, or in one (b None): union(i, j) is called for members (j counted after a's) that are linked and not yet one component."""
-    ta = Tree(a)
-    tb = ta if b is None else Tree(b)
-    base = 0 if b is None else len(a)
+def dual_join(a: Tree, b: Tree | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i in a, j in b, or both in a with i < j) of members that may be linked and aren't of one component, by dual traversal of two trees, or of one (b None)."""
     other = a if b is None else b
-    top = max(len(ta.levels), len(tb.levels)) - 1
-    todo = [(min(top, len(ta.levels) - 1), np.array([0]), min(top, len(tb.levels) - 1), np.array([0]))]
-    p = rule.percent
+    top = max(len(a.levels), len(other.levels)) - 1
+    step = max(16, min(2048, STEP // (8 * a.levels[0][0].shape[1])))
+    todo = [(top, np.array([0]), np.array([0]))] if len(a.levels[0][0]) and len(other.levels[0][0]) else []
     while todo:
-        la, ia, lb, ib = todo.pop()
-        ba, alo, ahi, apop = (x[ia] for x in ta.levels[la])
-        bb, blo, bhi, bpop = (x[ib] for x in tb.levels[lb])
+        k, ia, ib = todo.pop()
+        if len(ia) > step:
+            todo += [(k, ia[s : s + step], ib[s : s + step]) for s in range(0, len(ia), step)]
+            continue
+        (ba, apop, alo, ahi, afirst, alast), (bb, bpop, blo, bhi, bfirst, blast) = (tuple(x[i] for x in t.level(k)) for t, i in ((a, ia), (other, ib)))
         # shingles that one side has beyond the other's bits bound the overlap of any pair below
         common = np.bitwise_count(ba & bb).sum(axis=1).astype(np.int64)
         most = np.minimum(ahi - np.maximum(0, apop - common), bhi - np.maximum(0, bpop - common))
-        least = np.maximum(alo, blo)  # sizes bound it too
-        ok = (100 * most >= p * (np.maximum(alo, most) + np.maximum(blo, most) - most)) & (100 * np.minimum(ahi, bhi) >= p * least)
+        ok = (100 * most >= percent * (np.maximum(alo, most) + np.maximum(blo, most) - most)) & (100 * np.minimum(ahi, bhi) >= percent * np.maximum(alo, blo))
+        ok &= (afirst != alast) | (bfirst != blast) | (afirst != bfirst)
+        if b is None:
+            ok &= (ia < ib) if k == 0 else (ia <= ib)
         ia, ib = ia[ok], ib[ok]
         if not len(ia):
             continue
-        if la == 0 and lb == 0:
-            for i, j in zip(ia.tolist(), ib.tolist()):
-                if (b is None and i >= j) or find(i) == find(base + j):
-                    continue
-                x, y = a[i], other[j]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if rule.linked(both, len(x), len(y)):
-                    union(i, base + j)
+        if k == 0:
+            yield ia, ib
             continue
-        if len(ia) > 64:  # in parts, so that components found by the first spare the later ones
-            for k in range(len(ia) - len(ia) % 64, -1, -64):
-                if len(ia[k : k + 64]):
-                    todo.append((la, ia[k : k + 64], lb, ib[k : k + 64]))
-            continue
-        for i, j in zip(ia[::-1].tolist(), ib[::-1].tolist()):
-            if b is None and la == lb and i > j:
-                continue
-            ka = np.arange(i * FAN, min((i + 1) * FAN, len(ta.levels[la - 1][0]))) if la else np.array([i])
-            kb = np.arange(j * FAN, min((j + 1) * FAN, len(tb.levels[lb - 1][0]))) if lb else np.array([j])
-            if la and lb and la != lb:  # the taller side goes down alone
-                ka, kb = (ka, np.array([j])) if la > lb else (np.array([i]), kb)
-            na, nb = (la - 1 if la and la >= lb else la), (lb - 1 if lb and lb >= la else lb)
-            if na == 0 and nb == 0:
-                ra, rb = {find(x) for x in ka.tolist()}, {find(base + x) for x in kb.tolist()}
-                if len(ra) == 1 and ra == rb:
-                    continue
-            todo.append((na, np.repeat(ka, len(kb)), nb, np.tile(kb, len(ka))))
-
-
-def _forest(n: int):
-    parent = list(range(n))
+        (a0, a1), (b0, b1) = a.below(k, ia), other.below(k, ib)
+        wide, n = b1 - b0, (a1 - a0) * (b1 - b0)
+        pair = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        todo.append((k - 1, a0[pair] + at // wide[pair], b0[pair] + at % wide[pair]))
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    return parent, find
+def _folded(raw: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps as rows of so many words; wider ones are folded by OR."""
+    out = np.zeros((len(raw), words), U)
+    for i, x in enumerate(raw):
+        out[i] = np.bitwise_or.reduce(np.frombuffer(x, "<u8").reshape(-1, words), axis=0)
+    return out
 
 
-def join_nodes(rows: DataFrame, rule: Rule, parts: int) -> DataFrame:
-    """Links (a, b) found in each task of rows (task, side, id, k1, k2, seen, text): side 0 is joined with side 1, or with itself if there is no side 1.
+def join_nodes(rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of each task of rows (task, side, id, n, seen, bits): side 0 is joined with side 1, or with itself if there is no side 1.
 
-    seen: members with equal values are known to be connected. A text whose set isn't (k1, k2) is of another row of its doc_id and left out."""
+    Sets of one bitmap width make a tree; sizes of linked sets differ by less than two, so trees of equal or neighbouring widths are traversed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["task"]):
-            group = group.combine_chunks()
-            data, offsets = flat(group.column("text").combine_chunks() if group.column("text").num_chunks != 1 else group.column("text").chunk(0))
-            side, ids, k1, k2, seen = (group.column(c).to_pylist() for c in ("side", "id", "k1", "k2", "seen"))
-            lists: list[list] = [[], []]
-            for i, j in slices(offsets):
-                for r, x in zip(range(i, j), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.k)):
-                    if set_key(x) == (k1[r], k2[r]):
-                        lists[side[r]].append((x, ids[r], seen[r]))
-            ordered = [[s[i] for i in tree_order([x for x, *_ in s])] for s in lists]
-            both = ordered[0] + ordered[1]
-            parent, find = _forest(len(both))
-            first: dict[int, int] = {}
-            for i, (_, _, s) in enumerate(both):
-                parent[find(i)] = find(first.setdefault(s, i))
-            links: list[tuple[int, int]] = []
-
-            def union(i: int, j: int) -> None:
-                parent[find(i)] = find(j)
-                links.append((both[i][1], both[j][1]))
-
-            if ordered[0]:
-                dual_join([x for x, *_ in ordered[0]], [x for x, *_ in ordered[1]] if ordered[1] else None, rule, find, union)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
-
-    spread = rows.repartition(parts, "task").sortWithinPartitions("task", "side", "id")
-    return spread.select("task", "side", "id", "k1", "k2", "seen", "text").mapInArrow(run, "a long, b long")
-
-
-def candidate_clusters(classes: DataFrame) -> DataFrame:
-    """(id, component): classes (id, blocks) that share blocks, directly or over others. A block's classes are linked with the least of them."""
-    blocks = _exploded(classes, None).groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("block")
-    blocks = cut(blocks, "blocks")
-    release(classes.sparkSession)
-    words = bloom(blocks, "block", bloom_size(blocks.count()))
-    members = cut(_exploded(classes, words).distinct(), "members")
-    least = cut(members.groupBy("block").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("hi"), "least")
-    return components(members.join(least, "block").select(F.col("lo").alias("a"), F.col("id").alias("b")))
+            side, ids, n, seen = (group.column(c).to_numpy() for c in ("side", "id", "n", "seen"))
+            raw = group.column("bits").to_pylist()
+            width = np.array([len(x) // 8 for x in raw], np.int64)
+            order = np.lexsort((ids, seen, n))
+            whole = not side.any()
+
+            def tree(s: int, w: int, words: int) -> tuple[Tree, np.ndarray]:
+                at = order[(side[order] == s) & (width[order] == w)]
+                return Tree(_folded([raw[i] for i in at], words), n[at], seen[at]), ids[at]
+
+            widths = sorted(set(width.tolist()))
+            for w in widths:
+                for a, b in ((w, w), (w, 2 * w)) if whole else ((w, w), (w, 2 * w), (2 * w, w)):
+                    if a in widths and b in widths:
+                        (ta, ia), (tb, ib) = tree(0, a, min(a, b)), (None, None) if whole and a == b else tree(0 if whole else 1, b, min(a, b))
+                        for i, j in dual_join(ta, tb, percent):
+                            yield pa.RecordBatch.from_arrays([pa.array(ia[i]), pa.array((ia if ib is None else ib)[j])], ["a", "b"])
+
+    spread = rows.repartition("task").sortWithinPartitions("task", "side", "id")
+    return spread.select("task", "side", "id", "n", "seen", "bits").mapInArrow(run, "a long, b long")
+
+
+def tree_candidates(apart: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct candidates (a < b) of blocks (token, id, n, m, seen) by signature trees."""
+    withbits = members.select("id", "bits")
+    small = apart.where(f"m <= {LEAF}").select(F.col("token").alias("task"), F.lit(0).alias("side"), "id", "n", "seen").join(withbits, "id")
+    found = join_nodes(small, rule.percent)
+    large = apart.where(f"m > {LEAF}")
+    if not large.isEmpty():
+        found = found.unionByName(join_nodes(_node_pairs(large, rule).join(withbits, "id"), rule.percent))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _node_pairs(large: DataFrame, rule: Rule) -> DataFrame:
+    """(task, side, id, n, seen): blocks cut into nodes of about LEAF sets by size band, the largest component of each block in nodes of its own; a task is a pair of nodes in equal or neighbouring bands, not both of that component."""
+    counts = large.groupBy("token", "seen").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "seen")).alias("g")).select("token", F.col("g.seen").alias("giant"))
+    # linked sets' sizes differ by a factor of at most 100 / percent, the width of a band
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / rule.percent) + 1e-9)).cast("long")
+    placed = cut(large.join(counts, "token").select("token", "id", "n", "seen", band.alias("band"), (F.col("seen") != F.col("giant")).cast("int").alias("apart")), "bands")
+    sizes = placed.groupBy("token", "band", "apart").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("nodes"))
+    placed = cut(placed.join(cut(sizes, "nodes"), ["token", "band", "apart"]).withColumn("node", F.pmod(F.xxhash64("id"), F.col("nodes"))).drop("nodes"), "placed")
+    node = placed.select("token", "band", "apart", "node").distinct()
+    left = node.select("token", F.explode(F.expr("array(band, band + 1)")).alias("band"), F.col("band").alias("ba"), F.col("apart").alias("pa"), F.col("node").alias("na"))
+    right = node.select("token", "band", F.col("band").alias("bb"), F.col("apart").alias("pb"), F.col("node").alias("nb"))
+    pairs = left.join(right, ["token", "band"]).where("(pa = 1 or pb = 1) and (ba < bb or pa < pb or pa = pb and na <= nb)")
+    pairs = cut(pairs.withColumn("task", F.xxhash64("token", "ba", "pa", "na", "bb", "pb", "nb")).drop("band"), "node-pairs")
+
+    def side(s: int, b: str, p: str, n: str, these: DataFrame) -> DataFrame:
+        keyed = these.select("token", F.col(b).alias("band"), F.col(p).alias("apart"), F.col(n).alias("node"), "task", F.lit(s).alias("side"))
+        return placed.join(keyed, ["token", "band", "apart", "node"]).select("task", "side", "id", "n", "seen")
+
+    return side(0, "ba", "pa", "na", pairs).unionByName(side(1, "bb", "pb", "nb", pairs.where("ba <> bb or pa <> pb or na <> nb")))
+
+
+def links_of(members: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between sets (id, n, tokens, bits) that give their components."""
+    blocks = cut(memberships(cut(prefixes(members, rule), "prefixes")), "memberships")
+    fits = F.expr(f"100 * least(n, lead_n) >= {rule.percent} * greatest(n, lead_n)")
+    links = cut(verified(blocks.where("id <> lead").where(fits).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), members, rule), "links")
+    found = components(links)
+    labelled = cut(blocks.join(found.select("id", F.col("component").alias("seen")), "id", "left").select("token", "id", "n", "m", F.coalesce("seen", "id").alias("seen")), "labelled")
+    open_blocks = cut(labelled.groupBy("token").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi")).where("lo < hi").select("token"), "open")
+    apart = cut(labelled.join(open_blocks, "token", "left_semi"), "apart")
+    return cut(links.unionByName(verified(tree_candidates(apart, members, rule), members, rule)), "links")
 
 
 def link_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     rule = Rule(percent, k)
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     rows = cut(sets(docs, rule), "sets")
-    known = rows.where("n_shingles > 0 and doc_id is not null")
-    named = known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    named = cut(named, "classes")
-    # a class is a set; its blocks are those of any of its rows. Rows of one doc_id stay one node by id.
-    heads = known.join(named.select("k1", "k2", F.col("id").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "k1", "k2", "blocks")
-    clusters = candidate_clusters(heads.select("id", "blocks"))
-    member = clusters.join(named, "id").select("id", "component", "k1", "k2")
-    sizes = cut(member.groupBy("component").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    known = rows.where("n_shingles > 0 and doc_id is not null").drop("sample")
+    named = cut(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
+    heads = cut(named.join(survivors(rows, rule), ["k1", "k2", "n_shingles"], "left_semi").select("id", "k1", "k2"), "heads")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sized = cut(member.join(sizes, "component"), "clusters")
-    near, _ = passing(texts, sized, "id")  # texts of candidates alone are shuffled
-    with_text = cut(sized.join(near, "id"), "candidates")
-    small = with_text.where(f"m <= {LEAF}").withColumn("task", F.col("component")).withColumn("side", F.lit(0)).withColumn("seen", F.col("id"))
-    links = cut(join_nodes(small, rule, parts), "links")
-    if not sized.where(f"m > {LEAF}").isEmpty():
-        links = cut(links.unionByName(_large(with_text.where(f"m > {LEAF}"), rule, parts)), "links")
+    near, _ = passing(texts, heads, "id")  # texts of candidates alone are shuffled
+    members = cut(_sets_of(heads.join(near, "id"), rule), "members")
+    if not members.groupBy("id", "n").count().where("count > 1").isEmpty():  # rows that repeat a doc_id and its text
+        members = cut(members.dropDuplicates(["id"]), "members")
+    # links of sets, which k1 names until here, as links of their doc_ids: rows of one doc_id are one node
+    links = links_of(members, rule)
+    links = cut(links.join(heads.select(F.col("k1").alias("a"), F.col("id").alias("x")), "a").join(heads.select(F.col("k1").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
     # equal sets under different doc_ids, and links between sets
     same = known.join(named, ["k1", "k2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    joined = components(links)
     # rows of a doc_id with several texts tie their classes
-    several = same.distinct().groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi")
-    if not several.isEmpty():
-        joined = components(links.unionByName(same.where("a <> b")))
+    several = same.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo < hi")
+    joined = components(links if several.isEmpty() else links.unionByName(same.where("a <> b")))
     own = rows.join(named, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("id", "doc_id")).alias("id"))
     return own.join(joined, "id", "left").select("doc_id", "n_shingles", F.least("id", F.coalesce("component", "id")).alias("component_id"))
 
 
-def _large(members: DataFrame, rule: Rule, parts: int) -> DataFrame:
-    """Links of clusters with more than LEAF members, whose tree is cut into nodes of about that many; a task joins a pair of nodes."""
-    nodes = F.ceil(F.col("m") / LEAF)
-    node = members.withColumn("node", F.pmod(F.xxhash64("id"), nodes).cast("long")).withColumn("seen", F.col("id"))
-    alone = node.withColumn("task", F.xxhash64("component", "node")).withColumn("side", F.lit(0))
-    links = cut(join_nodes(alone, rule, parts), "links")
-
-    def pairs_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Rows of both nodes of each pair (component, a, b)."""
-        pairs = pairs.withColumn("task", F.xxhash64("component", "a", "b"))
-        sides = pairs.select("component", F.col("a").alias("node"), "task", F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select("component", F.col("b").alias("node"), "task", F.lit(1).alias("side")))
-        return rows.join(sides, ["component", "node"])
-
-    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-        found = components(links)
-        return rows.drop("seen").join(found.select("id", F.col("component").alias("seen")), "id", "left").withColumn("seen", F.coalesce("seen", "id"))
-
-    # every node with the first: what is alike comes together over it
-    heads = node.select("component", "node").distinct()
-    star = heads.where("node > 0").select("component", F.lit(0).cast("long").alias("a"), F.col("node").alias("b"))
-    links = cut(links.unionByName(join_nodes(pairs_of(labelled(node, links), star), rule, parts)), "links")
-    # the largest component of each cluster gets nodes of its own; pairs of its nodes need no look
-    seen = cut(labelled(node, links).withColumn("x", F.lit(1)), "seen")
-    counts = seen.groupBy("component", "seen").agg(F.count(F.lit(1)).alias("c"))
-    giant = counts.groupBy("component").agg(F.max(F.struct("c", "seen")).alias("g")).select("component", F.col("g.seen").alias("giant"), F.col("g.c").alias("gc"))
-    giant = cut(giant, "giant")
-    seen = seen.join(giant, "component").withColumn("apart", (F.col("seen") != F.col("giant")).cast("long"))
-    count = F.when(F.col("apart") == 1, F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("gc")) / LEAF))).otherwise(F.ceil(F.col("gc") / LEAF))
-    seen = seen.withColumn("node", F.pmod(F.xxhash64("id", F.lit(1)), count).cast("long") * 2 + F.col("apart"))
-    heads = seen.groupBy("component", "node").agg(F.min("apart").alias("apart"))
-    left, right = heads.select("component", F.col("node").alias("a"), F.col("apart").alias("x")), heads.select("component", F.col("node").alias("b"), F.col("apart").alias("y"))
-    rest = left.join(right, "component").where("x = 1 and (y = 0 or a <= b)").select("component", "a", "b")
-    return links.unionByName(join_nodes(pairs_of(seen, rest), rule, parts))
-
-
 def one_of_each(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
     """docs without those that are linked with a smaller doc_id: the smallest doc_id of each component stays.
 

@@ -170,47 +170,78 @@ def test_short_texts_are_told_apart(spark):
     assert got == {i: 0 if i == 2 else i for i in range(len(texts))}
 
 
-def test_dual_join_equals_all_pairs():
-    from plumbline.llm.jaccard_join import Rule, _forest, dual_join
-
-    r = np.random.default_rng(3)
-    rule = Rule(80, 5)
-    base = r.integers(0, 1 << 62, (12, 60)).astype(np.uint64)
-    members = []
-    for i in range(300):
-        x = base[i % 12].copy()
-        for _ in range(int(r.integers(0, 14))):
-            x[r.integers(60)] = r.integers(0, 1 << 62)
-        members.append(np.unique(x))
-    for split in (None, 140):
-        a, b = (members, None) if split is None else (members[:split], members[split:])
-        parent, find = _forest(300)
-        dual_join(a, b, rule, find, lambda i, j: parent.__setitem__(find(i), find(j)))
-        want, root = _forest(300)
-        for i in range(300):
-            for j in range(i + 1, 300):
-                if split is None or i < split <= j:
-                    n = len(np.intersect1d(members[i], members[j]))
-                    if rule.linked(n, len(members[i]), len(members[j])) and root(i) != root(j):
-                        want[root(i)] = root(j)
-        groups = lambda f: sorted(sorted(g) for g in collections.defaultdict(list, {}).values()) or sorted({frozenset(j for j in range(300) if f(j) == f(i)) for i in range(300)}, key=sorted)
-        assert groups(find) == groups(root)
-
-
-def test_pigeonhole_loses_no_pair():
-    from plumbline.llm.jaccard_join import Rule, signatures
+def _near_sets(r, n):
+    """Sets of 60 to 700 values around a few bases, with up to a fifth changed."""
+    base = [r.integers(0, 1 << 62, size).astype(np.uint64) for size in (60, 60, 60, 62, 200, 520, 700)]
+    out = []
+    for i in range(n):
+        x = base[i % len(base)].copy()
+        for _ in range(int(r.integers(0, len(x) // 5))):
+            x[r.integers(len(x))] = r.integers(0, 1 << 62)
+        out.append(np.unique(x))
+    return out
+
+
+def _linked_pairs(members, rule, seen):
+    return {
+        (i, j)
+        for i in range(len(members))
+        for j in range(i + 1, len(members))
+        if seen[i] != seen[j] and rule.linked(len(np.intersect1d(members[i], members[j])), len(members[i]), len(members[j]))
+    }
+
+
+def test_dual_join_loses_no_link_and_prunes():
+    from plumbline.llm.jaccard_join import Rule, Tree, _folded, bitmap, dual_join
+
+    rule, r = Rule(80, 5), np.random.default_rng(3)
+    members = [x for x in _near_sets(r, 420) if len(x) < 100]
+    seen = np.array([i // 3 for i in range(len(members))])
+
+    def tree(at):
+        return Tree(_folded([bitmap(members[i]).tobytes() for i in at], 32), np.array([len(members[i]) for i in at]), seen[list(at)])
+
+    every = range(len(members))
+    want = _linked_pairs(members, rule, seen)
+    got = {(i, j) for a, b in dual_join(tree(every), None, 80) for i, j in zip(a.tolist(), b.tolist())}
+    assert want and want <= got and all(i < j and seen[i] != seen[j] for i, j in got)
+    assert len(got) < len(members) ** 2 / 6  # three bases: pairs of different ones are pruned
+    half = len(members) // 3
+    got = {(i, j + half) for a, b in dual_join(tree(range(half)), tree(range(half, len(members))), 80) for i, j in zip(a.tolist(), b.tolist())}
+    assert {(i, j) for i, j in want if i < half <= j} <= got
+
+
+@pytest.mark.parametrize("leaf", [10_000, 20])
+def test_tree_candidates_lose_no_link(spark, leaf, monkeypatch):
+    from plumbline.llm import jaccard_join
+    from plumbline.llm.jaccard_join import Rule, bitmap, tree_candidates
+
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    rule, r = Rule(80, 5), np.random.default_rng(7)
+    members = _near_sets(r, 200)
+    seen = [i % 50 if i % 7 else 1000 for i in range(200)]
+    table = spark.createDataFrame([(i, len(x), bytearray(x.tobytes()), bytearray(bitmap(x).tobytes())) for i, x in enumerate(members)], "id long, n long, tokens binary, bits binary")
+    apart = spark.createDataFrame([(t, i, len(x), 200, seen[i]) for t in (1, 2) for i, x in enumerate(members)], "token long, id long, n long, m long, seen long")
+    got = [(x["a"], x["b"]) for x in tree_candidates(apart, table, rule).collect()]
+    assert len(got) == len(set(got)) and all(seen[a] != seen[b] for a, b in got)
+    assert _linked_pairs(members, rule, seen) <= set(got)
+
+
+def test_samples_and_prefixes_lose_no_pair():
+    from plumbline.llm.jaccard_join import Rule
 
     r = np.random.default_rng(4)
-    for percent in (80, 90):
+    for percent in (60, 80, 90, 100):
         rule = Rule(percent, 3)
-        for n in (1, 5, 9, 10, 11, 19, 40, 199, 700):
-            for _ in range(40):
+        for n in (1, 2, 5, 9, 10, 11, 19, 40, 199, 700):
+            for _ in range(60):
                 a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
                 cut = int(r.integers(0, max(1, len(a) * (100 - percent) // 100) + 1))
-                b = np.unique(np.concatenate((a[cut:], r.integers(0, 1 << 63, int(r.integers(0, 2 + len(a) // 8))).astype(np.uint64))))
-                both = len(np.intersect1d(a, b))
-                if len(b) and rule.linked(both, len(a), len(b)):
-                    assert set(signatures(a, rule).tolist()) & set(signatures(b, rule).tolist())
+                b = np.unique(np.concatenate((a[cut:] if r.random() < 0.5 else r.permutation(a)[cut:], r.integers(0, 1 << 63, int(r.integers(0, 2 + len(a) // 8))).astype(np.uint64))))
+                if len(b) and rule.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                    both = np.intersect1d(a[: rule.sampled(len(a))], b[: rule.sampled(len(b))])
+                    assert len(both) >= rule.seen(np.array([len(a), len(b)])).max()
+                    assert len(np.intersect1d(a[: len(a) - rule.shared(len(a)) + 1], b[: len(b) - rule.shared(len(b)) + 1]))
 
 
 def _quality(text):
@@ -553,7 +584,7 @@ def test_surrogates_collide_and_are_told_apart(spark, monkeypatch):
     from plumbline.llm import pii
 
     # single-digit octets: 9 ** 4 surrogates for 2000 entities, so first attempts collide
-    texts = [f"at {a}.{b}.{c}.{d} ok" for a in range(1, 9) for b in range(1, 6) for c in range(1, 8) for d in range(1, 8)][:2000]
+    texts = [f"at {a}.{b}.{c}.{d} ok" for a in range(1, 9) for b in range(1, 7) for c in range(1, 8) for d in range(1, 8)][:2000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for bound in (50_000, 3):
         monkeypatch.setattr(pii, "MAX_EXCEPTIONS", bound)
@@ -576,9 +607,13 @@ def test_surrogates_widen_when_their_form_is_used_up(spark, monkeypatch):
         assert len(forms) == 6 and all(len(x) > len(found) for x in forms)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [500_000, 3])
+def test_components(spark, small, monkeypatch):
+    from plumbline.llm import graph
     from plumbline.llm.graph import components
 
+    monkeypatch.setattr(graph, "SMALL", small)
+
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, 2001 + i) for i in range(50)]
     got = {x["id"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
