@@ -130,7 +130,8 @@ def bloom(hashes: DataFrame, column: str, log2_words: int) -> np.ndarray:
     mask = F.lit(0).cast("long")
     for s in (0, 6, 12, 18):
         mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {s}) & 63 as int))"))
-    words = hashes.select(F.shiftrightunsigned(h, 64 - log2_words).alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    # bits above the mask's choose the word: the highest are alike where callers keep the least hashes
+    words = hashes.select(F.shiftrightunsigned(h, 24).bitwiseAND(F.lit((1 << log2_words) - 1)).alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
     out = np.zeros(1 << log2_words, np.uint64)
     got = words.toArrow()
     out[got["w"].to_numpy().astype(np.int64)] = got["m"].to_numpy().view(np.uint64)
@@ -138,12 +139,11 @@ def bloom(hashes: DataFrame, column: str, log2_words: int) -> np.ndarray:
 
 
 def in_bloom(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    log2_words = np.uint64(len(words).bit_length() - 1)
     one, low = np.uint64(1), np.uint64(63)
     mask = np.zeros(len(hashes), np.uint64)
     for s in (0, 6, 12, 18):
         mask |= one << ((hashes >> np.uint64(s)) & low)
-    return (words[(hashes >> (np.uint64(64) - log2_words)).astype(np.int64)] & mask) == mask
+    return (words[((hashes >> np.uint64(24)) & np.uint64(len(words) - 1)).astype(np.int64)] & mask) == mask
 
 
 def passing(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:

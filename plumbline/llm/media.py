@@ -115,7 +115,7 @@ def stored(docs: DataFrame) -> DataFrame:
 
     Data of a chunk that occurs once stays with its file; that of a shared chunk is sent once by each task, for the chunk store."""
     shared = cut(shared_digests(docs), "shared")
-    words = docs.sparkSession.sparkContext.broadcast(bloom(shared, "h", bloom_size(shared.count())))  # at most 8 MB
+    words = docs.sparkSession.sparkContext.broadcast(bloom(shared, "h", bloom_size(shared.count())))  # at most 32 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=6)
