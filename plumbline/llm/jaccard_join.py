@@ -3,7 +3,7 @@
 Texts become sets of word shingles (64-bit hashes). Equal sets are one class, named by its smallest
 doc_id. Candidates are exact in two steps. First, each set gives its least hashes, more of them than a linked set may lack:
 linked sets share ``slack`` of these, so classes of which fewer are seen in another class have no link. What is left is joined by
-its rarest shingles: of a set of n, those n - ceil(n * percent / 100) + 1 that stand in the fewest sets. Linked sets share one of
+its rarest shingles: of a set of n, the first n - ceil(n * percent / 100) + 1 in an order of rarity. Linked sets share one of
 them, and shingles that no other set has, which come first, make no block. A block is a shingle and the sets that have it
 among their rarest; blocks of the same sets are one.
 
@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, passing, slices
 from .graph import components
@@ -35,7 +34,9 @@ from .words import mix, shingle_sets
 
 U = np.uint64
 #: Sets of a block that one task joins by a tree; children of a node; sets verified with one other in a task.
-LEAF, FAN, CHUNK = 4096, 16, 256
+LEAF, FAN, CHUNK = 256, 16, 256
+#: Levels of rarity: least numbers of sets that have a shingle.
+LEVELS = tuple(2 * 4**i for i in range(16))
 #: Least and most bits of a bitmap, and bytes of bitmaps that a step of a traversal compares.
 LEAST_BITS, MOST_BITS, STEP = 1 << 11, 1 << 16, 1 << 22
 
@@ -53,8 +54,8 @@ class Rule:
         return (self.percent * n + 99) // 100
 
     def slack(self, n: int) -> int:
-        """How many of their sampled shingles linked sets have in common; for two sizes the smaller number holds."""
-        return max(1, ((100 - self.percent) * n + 199) // 200)
+        """How many of their sampled shingles linked sets have in common; for two sizes the smaller number holds. More of them are larger samples that fewer other sets pass."""
+        return (n + 9) // 10
 
     def sampled(self, n: int) -> int:
         """Least hashes that a set of n shingles gives: with overlap o, the n - o + s least of two sets have s in common."""
@@ -63,7 +64,7 @@ class Rule:
     def seen(self, n: np.ndarray) -> np.ndarray:
         """Least number of sampled shingles that a linked set of any size samples, too."""
         least = (self.percent * n + 99) // 100
-        return np.minimum(np.maximum(1, ((100 - self.percent) * least + 199) // 200), n)
+        return (least + 9) // 10
 
     def linked(self, both: int, a: int, b: int) -> bool:
         return 100 * both >= self.percent * (a + b - both)
@@ -164,13 +165,41 @@ def _sets_of(texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def prefixes(members: DataFrame, rule: Rule) -> DataFrame:
-    """(token, id, n): those of each set's rarest shingles that other sets have. Linked sets share one, as all sets are ordered by the same counts."""
-    tokens = _exploded(members, "tokens", "id", "n")
-    counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
-    own = tokens.join(counts, "token")
-    own = own.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("c", "token"))).withColumn("others", F.count(F.lit(1)).over(W.partitionBy("id")))
-    # those that no other set has come before: n - others of them
-    return own.where(F.expr(f"place <= others - ({rule.percent} * n + 99) div 100 + 1")).select("token", "id", "n")
+    """(token, id, n): those of each set's rarest shingles that other sets have. Linked sets share one, as all sets are ordered alike.
+
+    The order is by levels of rarity, then by hash. A level is a filter of fixed size over the shingles that stand in at least LEVELS[i] sets: a
+    fuller filter makes some shingles seem more frequent, but to all sets alike, so no link is lost. Sets with too few shared shingles give none."""
+    counts = cut(_exploded(members, "tokens").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+    filters = []
+    for least in LEVELS:
+        often = counts.where(F.col("c") >= least).select("token")
+        n = often.count()
+        if not n:
+            break
+        filters.append(bloom(often, "token", bloom_size(n)))
+    levels = members.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column(2))
+            ids, found = batch.column(0).to_numpy(), []
+            for i in range(batch.num_rows):
+                x = data[offsets[i] : offsets[i + 1]].view("<u8")
+                rare: list[np.ndarray] = []
+                rest = x
+                for words in levels.value:
+                    on = in_bloom(words, rest)
+                    rare.append(rest[~on])
+                    rest = rest[on]
+                shared = np.concatenate([*rare[1:], rest]) if rare else rest[:0]  # without those that no other set has
+                most = len(shared) - rule.shared(len(x)) + 1
+                if most > 0:
+                    found.append((ids[i], len(x), shared[:most]))
+            if found:
+                times = [len(t) for *_, t in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([t for *_, t in found]).view(np.int64)), *(pa.array(np.repeat(np.array([f[k] for f in found], np.int64), times)) for k in (0, 1))], ["token", "id", "n"])
+
+    return members.select("id", "n", "tokens").mapInArrow(run, "token long, id long, n long")
 
 
 def memberships(prefix: DataFrame) -> DataFrame:
