@@ -7,7 +7,7 @@ is left goes by best fit. Ranked pieces then take the slots of their class. The
 on the number of classes alone, and everything over documents is distributed.
 
 A null or empty text is its end id alone; an empty table gives no rows; repeated rows are packed each
-(``copy`` tells them apart); other columns are ignored."""
+(a number tells them apart); other columns are ignored."""
 
 from __future__ import annotations
 
@@ -113,8 +113,8 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
-    """Pieces of every document: doc_id, copy (a hash that tells texts of one doc_id apart), start, length, ids (little-endian, null unless asked for), ids_crc32, doc_tokens."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH) -> DataFrame:
+    """Pieces of every document: doc_id, copy (a hash that tells texts of one doc_id apart), start, length, ids (little-endian) and doc_tokens."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -128,21 +128,17 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, w
                     raw += end
                     n = len(raw) // width
                     for start in range(0, n, length):
-                        ids = raw[start * width : (start + length) * width]
-                        crc = zlib.crc32(np.frombuffer(ids, enc.dtype).astype("<u4").tobytes())
-                        rows.append((doc, copy, start, len(ids) // width, ids if with_ids else None, crc, n))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], ["doc_id", "copy", "start", "length", "ids", "ids_crc32", "doc_tokens"])
+                        rows.append((doc, copy, start, min(length, n - start), raw[start * width : (start + length) * width], n))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["doc_id", "copy", "start", "length", "ids", "doc_tokens"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("copy"))
-    return docs.mapInArrow(cut_up, "doc_id long, copy long, start long, length long, ids binary, ids_crc32 long, doc_tokens long")
+    return docs.mapInArrow(cut_up, "doc_id long, copy long, start long, length long, ids binary, doc_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
-    """The pieces with sequence_id and offset, without their ids: where each piece lies. ``with_ids`` makes the packed corpus of it."""
-    spark = docs.sparkSession
+def place(made: DataFrame, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
+    """(piece, sequence_id, offset) of pieces (piece, doc_id, copy, start, length). Narrow rows alone: ids take no part in the plan."""
     units = length // grain
-    # ids take no part in the plan: with_ids joins them to it
-    made = cut(pieces(docs, tokenizer, end_id, length).drop("ids").withColumn("class", F.ceil(F.col("length") / grain).cast("int")), "pieces")
+    made = made.select("piece", "doc_id", "copy", "start", "length", F.ceil(F.col("length") / grain).cast("int").alias("class"))
     buckets = max(1, -(-made.count() // DOCS_PER_BUCKET))
     keyed = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "copy", "start"), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("c"))
@@ -167,18 +163,49 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, gra
                 own = kind == c
                 p = np.searchsorted(first, rank[own], side="right") - 1
                 seq[own] = base[p] + (rank[own] - first[p]) // per[p]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), pa.array(seq)], [*batch.schema.names, "sequence_id"])
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("length"), batch.column("rank"), pa.array(seq)], ["piece", "length", "rank", "sequence_id"])
 
     before = counts.withColumn("before", F.sum("c").over(W.partitionBy("class").orderBy("bucket")) - F.col("c")).drop("c")
-    ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("class", "bucket").orderBy("doc_id", "copy", "start")) - 1)
-    ranked = ranked.join(before, ["class", "bucket"]).withColumn("rank", F.col("r") + F.col("before")).drop("r", "before", "bucket")
-    seqs = ranked.mapInArrow(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema) + ", sequence_id long")
-    w = W.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "copy", "start", "rank").rowsBetween(W.unboundedPreceding, -1)
-    return seqs.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0))).drop("class", "rank")
-
-
-def with_ids(docs: DataFrame, tokenizer: str, end_id: int, packed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The packed pieces with their ids, for writers of training files."""
-    ids = pieces(docs, tokenizer, end_id, length, True).select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"), F.col("start").alias("_start"), "ids").dropDuplicates(["_doc", "_copy", "_start"])
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy")) & (F.col("start") == F.col("_start"))
-    return packed.join(ids, same).select(*packed.columns, "ids")
+    ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("class", "bucket").orderBy("doc_id", "copy", "start", "piece")) - 1)
+    ranked = ranked.join(before, ["class", "bucket"]).select("piece", "length", "class", (F.col("r") + F.col("before")).alias("rank"))
+    seqs = ranked.mapInArrow(assign, "piece long, length long, rank long, sequence_id long")
+    w = W.partitionBy("sequence_id").orderBy(F.desc("length"), "rank", "piece").rowsBetween(W.unboundedPreceding, -1)
+    return seqs.select("piece", "sequence_id", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("offset"))
+
+
+def sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
+    """The packed corpus as a table, a row a sequence: sequence_id, ids (little-endian, of 16 bits where the tokenizer's ids fit them, without padding), id_bytes (2 or 4),
+    and pieces: (doc_id, copy, start, length, doc_tokens, offset), in order of offset. A sequence is a group of at most `length` pieces."""
+    width = encoder(tokenizer).dtype.itemsize
+    # the number of a piece stays as it was written
+    made = cut(pieces(docs, tokenizer, end_id, length).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    placed = cut(place(made, length, grain), "places")
+    rows = made.join(placed, "piece").select("sequence_id", F.struct("offset", "doc_id", "copy", "start", "length", "doc_tokens", "ids").alias("p"))
+    rows = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    own = F.transform("p", lambda x: F.struct(x.doc_id.alias("doc_id"), x.copy.alias("copy"), x.start.alias("start"), x.length.alias("length"), x.doc_tokens.alias("doc_tokens"), x.offset.alias("offset")))
+    ids = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x.ids))
+    return cut(rows.select("sequence_id", ids.alias("ids"), F.lit(width).alias("id_bytes"), own.alias("pieces")), "sequences")
+
+
+def read_pieces(packed: DataFrame) -> DataFrame:
+    """Every piece of a packed corpus, read from its sequences: doc_id, copy, start, length, ids, ids_crc32 (of the ids as 32 bits), doc_tokens, sequence_id, offset."""
+    schema = "doc_id long, copy long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in names}
+            for sequence, ids, width, parts in zip(*(batch.column(c).to_pylist() for c in ("sequence_id", "ids", "id_bytes", "pieces"))):
+                for p in parts:
+                    raw = ids[p["offset"] * width : (p["offset"] + p["length"]) * width]
+                    p |= {"ids": raw, "ids_crc32": zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4")), "sequence_id": sequence}
+                    for n in names:
+                        out[n].append(p[n])
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.binary() if n == "ids" else pa.int64()) for n in names], names)
+
+    return packed.select("sequence_id", "ids", "id_bytes", "pieces").mapInArrow(run, schema)
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
+    """The pieces of the packed corpus with their ids and places, read back from its sequences."""
+    return read_pieces(sequences(docs, tokenizer, end_id, length, grain))

@@ -396,21 +396,34 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, path, 1).count() == 0
 
 
-def test_packed_pieces_get_their_ids(spark):
+def test_packed_sequences_rebuild_every_document(spark):
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     from plumbline.llm import packing
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = [(None, "no id " * 1500), (None, "no id either"), (None, None), (1, "one"), (1, "one"), (1, "another"), (2, "")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    packed = packing.pack(docs, path, 1)
-    got = packing.with_ids(docs, path, 1, packed)
-    assert got.columns == [*packed.columns, "ids"] and got.drop("ids").exceptAll(packed).isEmpty() and got.count() == packed.count() > len(texts)
-    width = packing.encoder(path).dtype.itemsize
-    for r in got.collect():
-        ids = np.frombuffer(r["ids"], f"<u{width}").astype("<u4")
-        assert len(ids) == r["length"] and zlib.crc32(ids.tobytes()) == r["ids_crc32"]
+    table = packing.sequences(docs, path, 1)
+    held = {r["sequence_id"]: np.frombuffer(r["ids"], f"<u{r['id_bytes']}").tolist() for r in table.collect()}
+    pieces = packing.read_pieces(table).collect()
+    assert len(pieces) > len(texts) and sum(r["length"] for r in pieces) == sum(map(len, held.values()))
+    found = collections.defaultdict(list)
+    for r in pieces:
+        ids = held[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r["ids_crc32"]
+        found[r["doc_id"], r["copy"], r["start"]].append(ids)
+    t = Tokenizer.from_file(path)
+    want, got = collections.Counter(), collections.Counter()
+    for d, text in texts:
+        want[d, tuple(t.encode(text or "", add_special_tokens=False).ids + [1])] += 1
+    for (d, copy, start), firsts in found.items():
+        if start == 0:
+            rest = [found[k] for k in sorted((k for k in found if k[:2] == (d, copy) and k[2]), key=lambda k: k[2])]
+            for i in range(len(firsts)):
+                got[d, tuple(firsts[i] + [x for p in rest for x in p[i]])] += 1
+    assert got == want
 
 
 def test_mixing(docs, rows, empty):
