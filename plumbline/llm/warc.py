@@ -1,12 +1,14 @@
 """WARC archives with revisit records.
 
-Digests of all payloads are counted first, over narrow header rows; records whose payload is large
-enough and equal to that of a smaller page become revisits of it. Archives are written by streaming
-tasks, one gzip member a record, and read back record by record.
+Header rows alone (page, url, size and digest of the payload) are grouped and joined: records whose payload is large
+enough and equal to that of a smaller page become revisits of it. A revisit is written from its header row; payloads
+stay with their pages and are not shuffled, but for the few that a filter of fixed size can't tell from a revisit's. Archives
+are written by streaming tasks, one gzip member a record, and read back record by record.
 
-Null html is an empty payload; payloads below the least size are always responses; rows that repeat a
-page_id together with its payload are responses if that page is the original; a null page_id is never
-an original unless all its group are null, and refers to nothing then; an empty table writes no archive."""
+Null html is an empty payload; payloads below the least size are always responses. A record's id names its page and
+its payload, so rows that repeat a page_id with other payloads are records of their own; rows that repeat a page_id
+together with its payload are responses if that page is the original. A null page_id is never an original unless all
+its group are null, and refers to nothing then; an empty table writes no archive; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -17,10 +19,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, filesystem, work_dir, write_atomically
+from .common import cut, filesystem, passing, work_dir, write_atomically
 
 LEAST, LEVEL = 100, 1
 #: Fixed values of the format.
@@ -28,29 +30,38 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
+def record_id(page_id, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}:{digest}')}>"
 
 
 def resolve(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages (page_id, url, html) with payload (binary), digest, and original: the smallest page_id of an equal payload of at least `least` bytes, null where the record stands for itself.
+    """pages (page_id, url, html) with payload (binary, null for revisits), size, digest, and original: the smallest page_id of an equal payload of at least `least` bytes, null where the record stands for itself.
 
-    Header rows alone are grouped, with partial sums, so a payload that fills a third of the table is one row a task; the join back may be split by Spark where a digest is frequent."""
+    A payload that fills a third of the table is one row a task in the grouping; joins are between tables, so that Spark may split them where a digest is frequent."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    # a table, so that Spark may split the join below where a digest is frequent
-    heads = cut(rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "digests")
-    joined = rows.join(heads, "digest", "left")
-    return joined.withColumn("original", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
-
-
-def _record(page_id, url, payload: bytes, digest: str, original, date: str) -> bytes:
-    kind = "response" if original is None else "revisit"
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    body = http + (payload if original is None else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}"]
-    if original is not None:
-        lines += [f"WARC-Refers-To: {record_id(original)}", f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page: {original}"]
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
+    rows = rows.withColumn("header", F.xxhash64("page_id", "digest"))
+    heads = cut(rows.drop("payload"), "headers")
+    firsts = cut(heads.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "digests")
+    visits = cut(heads.join(firsts, "digest").where(~F.col("first").eqNullSafe(F.col("page_id"))).withColumnRenamed("first", "original"), "revisits")
+    maybe, own = passing(rows, visits, "header")  # of the responses, few pass
+    mistaken = cut(maybe.drop("payload").join(visits.select("header", F.col("page_id").alias("p"), F.col("digest").alias("d")).distinct(), "header", "left").where("d is null or d <> digest or not p <=> page_id").select("header"), "mistaken")
+    kept, _ = passing(maybe, mistaken, "header")
+    known = visits.select("header", "digest", F.col("page_id").alias("p")).distinct()
+    kept = kept.join(known, (kept.header == known.header) & (kept.digest == known.digest) & kept.page_id.eqNullSafe(known.p), "left_anti")
+    names = ["page_id", "url", "payload", "size", "digest", "original"]
+    nothing = F.lit(None).cast("long").alias("original")
+    revisits = visits.withColumn("payload", F.lit(None).cast("binary")).select(*names)
+    return own.select(*names[:-1], nothing).unionByName(kept.select(*names[:-1], nothing)).unionByName(revisits)
+
+
+def _record(page_id, url, payload: bytes | None, size: int, digest: str, original, date: str) -> bytes:
+    kind = "response" if payload is not None else "revisit"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+    body = http + (payload or b"")
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}"]
+    if payload is None:
+        lines += [f"WARC-Refers-To: {record_id(original, digest)}", f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page: {original}"]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
@@ -71,7 +82,7 @@ def write_archives(resolved: DataFrame, out: str | None = None, date: str = "202
             nonlocal n
             batch = held
             while batch is not None:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "original"))):
+                for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "size", "digest", "original"))):
                     f.write(gzip.compress(_record(*row, date), level, mtime=0))
                     n += 1
                 batch = next(batches, None)
@@ -139,7 +150,3 @@ def full_records(records: DataFrame) -> DataFrame:
     named = visits.join(originals, "refers_to_record").drop("refers_to_record")
     own = heads.where("record_type = 'response'").select("page_id", "record_type", F.lit(None).cast("long").alias("refers_to"), "payload_bytes", F.col("read_digest").alias("payload_digest"))
     return own.unionByName(named).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-def archive_spec(spark: SparkSession) -> str:
-    return "WARC/1.1"
