@@ -2,7 +2,9 @@
 
 Entities are found by patterns: addresses of mail, IPv4, payment cards, phones, social security and
 bank account numbers, secrets (assigned tokens and well-known key forms) and persons after a title.
-A surrogate is a keyed hash of kind, normalised entity and attempt, rendered in the entity's form:
+A surrogate is a keyed hash of kind, normalised entity and attempt, rendered in the entity's form. The key is
+the session setting ``plumbline.pii.key``, which keeps surrogates alike over runs; without it, each driver process draws a key
+of its own, so that nobody can make the mapping again by trial. Of the form,
 separators, case, length and character classes stay; cards keep their issuer digit and their checksum's
 truth, bank accounts their country; persons get a name of their title's gender in their script. Bare
 mentions of a titled person in the same text, and parts of the name, get the same name or its parts.
@@ -10,7 +12,7 @@ mentions of a titled person in the same text, and parts of the name, get the sam
 Equal entities get one surrogate wherever they stand (coreference). All distinct entities of the table
 are checked: where two would share a surrogate, or one is itself an entity of the table, all but the
 first try again, until none collide. Where a form has too few surrogates for its entities, those that are
-left after ``WIDE_FROM`` attempts get a wider form: any octets, a further label of the domain, more characters. What differs from the first attempt is few and goes to the tasks as
+left after ``WIDE_FROM`` attempts get a wider form: any octets (in the end version 6), a further label of the domain, more characters. What differs from the first attempt is few and goes to the tasks as
 a table of checked size, or by a join on documents beyond it.
 
 Null text stays null, and empty stays empty; texts without entities are returned unchanged; other columns
@@ -21,16 +23,18 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
 
-KEY = b"plumbline"
-MAX_EXCEPTIONS, MAX_ATTEMPTS = 50_000, 40
+KEY_SETTING = "plumbline.pii.key"
+MAX_EXCEPTIONS = 50_000
 #: From this attempt on, surrogates are wider than their entity: any octets, or more characters with each attempt.
 WIDE_FROM = 20
 
@@ -256,6 +260,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         labels = domain.split(".")
         return _like(local, r) + "@" + ".".join([*(_like(x, r) for x in labels[:-1]), *([_like("a" * 4 * more, r)] if more else []), labels[-1]])
     if kind == "ip":
+        if more > 20:  # so many addresses that few others are left: one of version 6
+            return "2001:db8:" + ":".join(f"{r.below(1 << 16):x}" for _ in range(6))
         if more:
             return ".".join(str(r.below(256)) for _ in range(4))
         return ".".join(str((1 + r.below(9), 10 + r.below(90), 100 + r.below(155))[len(x) - 1]) for x in entity.split("."))
@@ -321,10 +327,21 @@ def _with_surrogates(rows: DataFrame, key: bytes) -> DataFrame:
     return rows.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, surrogate string")
 
 
-def surrogate_table(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+@lru_cache(1)
+def _own_key() -> bytes:
+    return secrets.token_bytes(32)
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The configured key, or that of this driver process."""
+    set_to = spark.conf.get(KEY_SETTING, None)
+    return set_to.encode() if set_to else _own_key()
+
+
+def surrogate_table(docs: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, attempt, surrogate) of every distinct entity: one surrogate each, none shared, none an entity of the table."""
     table = cut(_with_surrogates(entities(docs).withColumn("attempt", F.lit(0)), key), "surrogates")
-    for _ in range(MAX_ATTEMPTS):
+    while True:  # wider forms have room for all
         # an entity with the fewest attempts keeps a surrogate that several want
         first = table.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"))
         taken = table.select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
@@ -334,10 +351,9 @@ def surrogate_table(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             return table
         again = _with_surrogates(judged.where("bad").withColumn("attempt", F.col("attempt") + 1), key)
         table = cut(judged.where("not bad").drop("bad").unionByName(again), "surrogates")
-    raise ValueError("the space of surrogates is too small for the entities")
 
 
-def replace(docs: DataFrame, table: DataFrame, key: bytes = KEY) -> DataFrame:
+def replace(docs: DataFrame, table: DataFrame, key: bytes) -> DataFrame:
     """docs with surrogates in text, and n_entities."""
     spark = docs.sparkSession
     others = cut(table.where("attempt > 0"), "exceptions")
@@ -382,6 +398,7 @@ def replace(docs: DataFrame, table: DataFrame, key: bytes = KEY) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", n_entities long")
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with every entity in text replaced by its surrogate, and n_entities."""
+def pseudonymise(docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """docs with every entity in text replaced by its surrogate, and n_entities. Without a key, that of the session."""
+    key = key or key_of(docs.sparkSession)
     return replace(docs, surrogate_table(docs, key), key)
