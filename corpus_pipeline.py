@@ -32,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents with their places in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1).select("doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """Pieces of the mixed documents with their ids and places, read from packed sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
 STAGES = [("quality rules", keep_quality), ("n-gram Jaccard join", drop_near_copies), ("PII surrogates", hide_persons), ("mixing", mix_sources), ("packing", pack_sequences)]
