@@ -11,8 +11,11 @@ A null or empty text is its end id alone; an empty table gives no rows; repeated
 
 from __future__ import annotations
 
+import uuid
+import warnings
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, texts_of
+from .common import cut, filesystem, texts_of, work_dir
 from .tokens import encoder
 
 LENGTH, GRAIN = 2048, 16
@@ -58,6 +61,8 @@ def _simplex(demand: np.ndarray, capacity: int, rounds: int = 3000) -> tuple[np.
         row = basis[r] / d[r]
         basis = basis - np.outer(d, row)
         basis[r] = row
+    else:
+        warnings.warn(f"column generation stopped after {rounds} patterns: sequences may be padded more", stacklevel=2)
     full = np.zeros((m, capacity), np.int64)
     full[:, sizes - 1] = columns.T.round().astype(np.int64)
     return full, np.maximum(x, 0)
@@ -113,26 +118,32 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH) -> DataFrame:
-    """Pieces of every document: doc_id, copy (a hash that tells texts of one doc_id apart), start, length, ids (little-endian) and doc_tokens."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, folder: str, length: int = LENGTH) -> DataFrame:
+    """Writes the ids of all documents to files in a folder, one a task, and gives the pieces: doc_id, copy (a hash that tells texts of one doc_id apart), start, length, doc_tokens, and
+    the file and byte at which the piece's ids lie (little-endian, of 16 bits where the tokenizer's ids fit them). A file's name is its task attempt's own, so rows and file always agree."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
-        width = enc.dtype.itemsize
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                rows: list[tuple] = []
-                for doc, copy, raw in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), enc.encode(texts_of(part.column(1)))):
-                    raw += end
-                    n = len(raw) // width
-                    for start in range(0, n, length):
-                        rows.append((doc, copy, start, min(length, n - start), raw[start * width : (start + length) * width], n))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["doc_id", "copy", "start", "length", "ids", "doc_tokens"])
+        end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
+        name, at = f"ids-{uuid.uuid4().hex}.bin", 0
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{name}") as out:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    part = batch.slice(i, 256)
+                    rows: list[tuple] = []
+                    for doc, copy, raw in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), enc.encode(texts_of(part.column(1)))):
+                        out.write(raw)
+                        out.write(end)
+                        n = len(raw) // width + 1
+                        rows += [(doc, copy, start, min(length, n - start), n, at + start * width) for start in range(0, n, length)]
+                        at += n * width
+                    columns = [pa.array(x, pa.int64()) for x in zip(*rows)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * len(rows))], ["doc_id", "copy", "start", "length", "doc_tokens", "at", "file"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("copy"))
-    return docs.mapInArrow(cut_up, "doc_id long, copy long, start long, length long, ids binary, doc_tokens long")
+    return docs.mapInArrow(cut_up, "doc_id long, copy long, start long, length long, doc_tokens long, at long, file string")
 
 
 def place(made: DataFrame, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
@@ -173,39 +184,80 @@ def place(made: DataFrame, length: int = LENGTH, grain: int = GRAIN) -> DataFram
     return seqs.select("piece", "sequence_id", F.coalesce(F.sum("length").over(w), F.lit(0)).alias("offset"))
 
 
-def sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
-    """The packed corpus as a table, a row a sequence: sequence_id, ids (little-endian, of 16 bits where the tokenizer's ids fit them, without padding), id_bytes (2 or 4),
-    and pieces: (doc_id, copy, start, length, doc_tokens, offset), in order of offset. A sequence is a group of at most `length` pieces."""
-    width = encoder(tokenizer).dtype.itemsize
+@dataclass(frozen=True)
+class Packed:
+    """A packed corpus: the folder of its id files, bytes of an id, and the table of pieces (doc_id, copy, start, length, doc_tokens, at, file, sequence_id, offset), the index of the files."""
+
+    folder: str
+    width: int
+    index: DataFrame
+
+
+def write_packed(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, grain: int = GRAIN, folder: str | None = None) -> Packed:
+    """Packs docs. Ids are written once and stay where they are; a sequence is its pieces in the index, in order of offset."""
+    folder = folder or work_dir(docs.sparkSession, "ids")
     # the number of a piece stays as it was written
-    made = cut(pieces(docs, tokenizer, end_id, length).withColumn("piece", F.monotonically_increasing_id()), "pieces")
-    placed = cut(place(made, length, grain), "places")
-    rows = made.join(placed, "piece").select("sequence_id", F.struct("offset", "doc_id", "copy", "start", "length", "doc_tokens", "ids").alias("p"))
-    rows = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    own = F.transform("p", lambda x: F.struct(x.doc_id.alias("doc_id"), x.copy.alias("copy"), x.start.alias("start"), x.length.alias("length"), x.doc_tokens.alias("doc_tokens"), x.offset.alias("offset")))
-    ids = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x.ids))
-    return cut(rows.select("sequence_id", ids.alias("ids"), F.lit(width).alias("id_bytes"), own.alias("pieces")), "sequences")
+    made = cut(pieces(docs, tokenizer, end_id, folder, length).withColumn("piece", F.monotonically_increasing_id()), "pieces")
+    return Packed(folder, encoder(tokenizer).dtype.itemsize, cut(made.join(place(made, length, grain), "piece").drop("piece"), "index"))
+
+
+def read_pieces(packed: Packed) -> DataFrame:
+    """Every piece of a packed corpus with its ids, read from the files one after the other, and ids_crc32 (of the ids as 32 bits)."""
+    folder, width = packed.folder, packed.width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(folder)
+        name, stream = None, None
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                ids = []
+                for file, at, n in zip(*(part.column(c).to_pylist() for c in ("file", "at", "length"))):
+                    if file != name:
+                        if stream is not None:
+                            stream.close()
+                        name, stream = file, fs.open_input_stream(f"{root}/{file}", buffer_size=1 << 20)
+                        place = 0
+                    if at > place:
+                        stream.read(at - place)
+                    ids.append(stream.read(n * width))
+                    place = at + n * width
+                crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4")) for x in ids]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(ids, pa.binary()), pa.array(crc, pa.int64())], [*names, "ids", "ids_crc32"])
+        if stream is not None:
+            stream.close()
+
+    names = ["doc_id", "copy", "start", "length", "doc_tokens", "sequence_id", "offset"]
+    rows = packed.index.repartition("file").sortWithinPartitions("file", "at").select(*names, "file", "at")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", ids binary, ids_crc32 long")
 
 
-def read_pieces(packed: DataFrame) -> DataFrame:
-    """Every piece of a packed corpus, read from its sequences: doc_id, copy, start, length, ids, ids_crc32 (of the ids as 32 bits), doc_tokens, sequence_id, offset."""
-    schema = "doc_id long, copy long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    names = [x.split()[0] for x in schema.split(", ")]
+def read_sequences(packed: Packed, length: int = LENGTH, pad_id: int | None = None) -> DataFrame:
+    """(sequence_id, ids) of every sequence, from its ranges of the files; padded to the length if a pad id is given. A sequence has at most `length` pieces."""
+    folder, width = packed.folder, packed.width
+    fill = b"" if pad_id is None else int(pad_id).to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(folder)
+        held: dict = {}
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            for sequence, ids, width, parts in zip(*(batch.column(c).to_pylist() for c in ("sequence_id", "ids", "id_bytes", "pieces"))):
+            out = []
+            for parts in batch.column("parts").to_pylist():
+                ids = []
                 for p in parts:
-                    raw = ids[p["offset"] * width : (p["offset"] + p["length"]) * width]
-                    p |= {"ids": raw, "ids_crc32": zlib.crc32(np.frombuffer(raw, f"<u{width}").astype("<u4")), "sequence_id": sequence}
-                    for n in names:
-                        out[n].append(p[n])
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.binary() if n == "ids" else pa.int64()) for n in names], names)
+                    if p["file"] not in held:
+                        if len(held) >= 64:
+                            held.pop(next(iter(held))).close()
+                        held[p["file"]] = fs.open_input_file(f"{root}/{p['file']}")
+                    ids.append(held[p["file"]].read_at(p["length"] * width, p["at"]))
+                raw = b"".join(ids)
+                out.append(raw + fill * (length - len(raw) // width))
+            yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array(out, pa.binary())], ["sequence_id", "ids"])
 
-    return packed.select("sequence_id", "ids", "id_bytes", "pieces").mapInArrow(run, schema)
+    rows = packed.index.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "file", "at", "length"))).alias("parts"))
+    return rows.select("sequence_id", "parts").mapInArrow(run, "sequence_id long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, grain: int = GRAIN) -> DataFrame:
-    """The pieces of the packed corpus with their ids and places, read back from its sequences."""
-    return read_pieces(sequences(docs, tokenizer, end_id, length, grain))
+    """The pieces of the packed corpus with their ids and places, read back from its files."""
+    return read_pieces(write_packed(docs, tokenizer, end_id, length, grain))

@@ -405,14 +405,16 @@ def test_packed_sequences_rebuild_every_document(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = [(None, "no id " * 1500), (None, "no id either"), (None, None), (1, "one"), (1, "one"), (1, "another"), (2, "")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    table = packing.sequences(docs, path, 1)
-    held = {r["sequence_id"]: np.frombuffer(r["ids"], f"<u{r['id_bytes']}").tolist() for r in table.collect()}
-    pieces = packing.read_pieces(table).collect()
+    packed = packing.write_packed(docs, path, 1)
+    held = {r["sequence_id"]: np.frombuffer(r["ids"], f"<u{packed.width}").tolist() for r in packing.read_sequences(packed).collect()}
+    pieces = packing.read_pieces(packed).collect()
+    padded = {r["sequence_id"]: np.frombuffer(r["ids"], f"<u{packed.width}").tolist() for r in packing.read_sequences(packed, pad_id=7).collect()}
+    assert padded == {k: x + [7] * (2048 - len(x)) for k, x in held.items()}
     assert len(pieces) > len(texts) and sum(r["length"] for r in pieces) == sum(map(len, held.values()))
     found = collections.defaultdict(list)
     for r in pieces:
         ids = held[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
-        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r["ids_crc32"]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r["ids_crc32"] and ids == np.frombuffer(r["ids"], f"<u{packed.width}").tolist()
         found[r["doc_id"], r["copy"], r["start"]].append(ids)
     t = Tokenizer.from_file(path)
     want, got = collections.Counter(), collections.Counter()
