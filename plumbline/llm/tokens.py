@@ -1,14 +1,15 @@
 """Encoding with a tokenizers file, by a cache of pre-tokens.
 
 Both supported patterns cut a text into pre-tokens which are encoded one by one. Texts of ASCII and
-Latin-1 letters are cut here by the same pattern and each distinct pre-token is encoded once by the
-library; other texts, and those with a special token's string, go to the library whole."""
+Latin-1 letters are cut here by the same pattern and each distinct pre-token is given to the library's model
+once; other texts, and those with a special token's string, go to the library whole."""
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
-from itertools import accumulate, chain, filterfalse, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -20,7 +21,26 @@ _SUFFIX = "'(?:s|t|re|ve|m|ll|d)"
 _WORDS = re.compile(f"{_SUFFIX}|[{_LETTER}]+|[0-9]|[^{_BLANK}{_LETTER}0-9]+")
 _BYTES = re.compile(f"{_SUFFIX}| ?[{_LETTER}]+| ?[0-9]+| ?[^{_BLANK}{_LETTER}0-9]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: Pre-tokens that a worker keeps: about 200 bytes each.
-CACHE = 800_000
+CACHE = 500_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """For str.translate: the letters that stand for the UTF-8 bytes of ASCII and Latin-1 characters in a byte-level vocabulary. Printable bytes stand for themselves, others take the letters from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+
+
+class _Ids(dict):
+    """Ids of pre-tokens as bytes; new ones come from the model alone, at a fraction of the library's whole way."""
+
+    def __init__(self, model, width: int):
+        super().__init__()
+        self.one, self.table, self.width = model.tokenize, _byte_letters(), width
+
+    def __missing__(self, pre: str) -> bytes:
+        ids = self[pre] = b"".join([t.id.to_bytes(self.width, "little") for t in self.one(pre.translate(self.table))])
+        return ids
 
 
 class Encoder:
@@ -31,7 +51,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.folds = self.tokenizer.normalizer is not None
         self.pattern = _WORDS if self.folds else _BYTES
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Ids(self.tokenizer.model, self.dtype.itemsize)
         self.plain = self._agrees()
 
     def _agrees(self) -> bool:
@@ -49,14 +69,10 @@ class Encoder:
         return [raw[a:b] for a, b in pairwise(ends)]
 
     def _cached(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pattern.findall(t.lower() if self.folds else t) for t in texts]
+        find, get = self.pattern.findall, self.cache.__getitem__
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = list(set(filterfalse(self.cache.__contains__, chain.from_iterable(cut))))
-        if new:
-            self.cache.update(zip(new, self._whole(new)))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in cut]
+        return [b"".join(map(get, find(t.lower() if self.folds else t))) for t in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of self.dtype."""
@@ -68,5 +84,6 @@ class Encoder:
 
 @lru_cache(4)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, so that its cache lasts over tasks."""
+    """One for each Python worker, so that its cache lasts over tasks. A worker is one of many on its machine: the library takes no threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)

@@ -90,6 +90,19 @@ def test_token_shards(spark, docs, rows, empty):
     assert token_shards.read_payloads(folder, token_shards.document_keys(empty)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_cached_ids_are_the_librarys(name):
+    import public_tokenizers
+
+    from plumbline.llm.tokens import Encoder
+
+    e, r = Encoder(public_tokenizers.path(name)), random.Random(9)
+    assert e.plain  # else all goes to the library anyway
+    parts = [chr(c) for c in range(256)] + ["'s", "'LL", "don't", "  ", " \n", "\u2003", "Ω", "文", "e\u0301", "İ", "ﬁ", *e.specials, *(s[:-1] for s in e.specials)]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(0, 40))) for _ in range(20_000)] + ["", " ", "x" * 5000, "ab " * 3000]
+    assert e.encode(texts) == e._whole(texts)
+
+
 def test_perfect_hash():
     from plumbline.llm.token_shards import PerfectHash
 
