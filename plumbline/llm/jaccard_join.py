@@ -5,14 +5,14 @@ doc_id. Candidates are exact in two steps. First, each set gives its least hashe
 linked sets share ``slack`` of these, so classes of which fewer are seen in another class have no link. What is left is joined by
 its rarest shingles: of a set of n, the first n - ceil(n * percent / 100) + 1 in an order of rarity. Linked sets share one of
 them, and shingles that no other set has, which come first, make no block. A block is a shingle and the sets that have it
-among their rarest; blocks of the same sets are one.
+among their rarest; blocks with the same least set, their lead, are one group.
 
-In each block all sets are verified with its least one, and links give components. Blocks whose sets are
+In each group all sets are verified with the lead, and links give components. Groups whose sets are
 still apart are joined by a signature tree: nodes hold the OR of their members' token bitmaps, their
 range of sizes and of components, and a dual traversal goes down only node pairs whose greatest possible
 overlap reaches the threshold and which aren't one component. Its leaf pairs are verified on the
-sets themselves. Blocks beyond ``LEAF`` sets are cut into nodes by size band; pairs of nodes in equal or neighbouring bands are
-traversed in tasks of their own, which get bitmaps alone. Links are exact; only those that join two components are
+sets themselves, as long as they are two components in their task. Groups beyond ``LEAF`` sets are cut into nodes by size band; pairs of nodes in equal or neighbouring bands are
+traversed in tasks of their own. Links are exact; only those that join two components are
 looked for, as components need no others.
 
 Null and empty texts have no shingles and link with nothing; a text with fewer words than a shingle is
@@ -33,12 +33,14 @@ from .graph import components
 from .words import mix, shingle_sets
 
 U = np.uint64
-#: Sets of a block that one task joins by a tree; children of a node; sets verified with one other in a task.
+#: Sets of a group that one task joins by a tree; children of a node; sets verified with one other in a task.
 LEAF, FAN, CHUNK = 256, 16, 256
+#: Shingles of such sets, of eight bytes each.
+WEIGHT = 1 << 20
 #: Levels of rarity: least numbers of sets that have a shingle.
 LEVELS = tuple(2 * 4**i for i in range(16))
 #: Least and most bits of a bitmap, and bytes of bitmaps that a step of a traversal compares.
-LEAST_BITS, MOST_BITS, STEP = 1 << 11, 1 << 16, 1 << 22
+LEAST_BITS, MOST_BITS, STEP = 1 << 11, 1 << 17, 1 << 22
 
 
 class Rule:
@@ -138,8 +140,8 @@ def survivors(rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def bitmap(x: np.ndarray) -> np.ndarray:
-    """Bits at the hashes' low bits: a power of two of at least four for each member, up to MOST_BITS."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(x) - 1).bit_length()))
+    """Bits at the hashes' low bits: a power of two of at least sixteen for each member, up to MOST_BITS, so that few different shingles share one."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * len(x) - 1).bit_length()))
     out = np.zeros(bits // 64, U)
     low = (x & U(bits - 1)).astype(np.int64)
     np.bitwise_or.at(out, low >> 6, U(1) << (low & 63).astype(U))
@@ -147,7 +149,7 @@ def bitmap(x: np.ndarray) -> np.ndarray:
 
 
 def _sets_of(texts: DataFrame, rule: Rule) -> DataFrame:
-    """(id, n, tokens, bits) of rows (k1, k2, text), where id is k1. A text whose set isn't (k1, k2) is of another row of its doc_id and left out."""
+    """(id, n, tokens) of rows (k1, k2, text), where id is k1. A text whose set isn't (k1, k2) is of another row of its doc_id and left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,11 +159,24 @@ def _sets_of(texts: DataFrame, rule: Rule) -> DataFrame:
                 rows = []
                 for r, x in zip(range(i, j), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], rule.k)):
                     if set_key(x) == (k1[r], k2[r]):
-                        rows.append((k1[r], len(x), x.tobytes(), bitmap(x).tobytes()))
+                        rows.append((k1[r], len(x), x.tobytes()))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["id", "n", "tokens", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["id", "n", "tokens"])
 
-    return texts.select("k1", "k2", "text").mapInArrow(run, "id long, n long, tokens binary, bits binary")
+    return texts.select("k1", "k2", "text").mapInArrow(run, "id long, n long, tokens binary")
+
+
+def bitmaps(members: DataFrame) -> DataFrame:
+    """(id, tokens, bits) of sets (id, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            for i, j in slices(offsets):
+                bits = [bitmap(data[offsets[k] : offsets[k + 1]].view("<u8")).tobytes() for k in range(i, j)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in (batch.column(0), batch.column(1))), pa.array(bits, pa.binary())], ["id", "tokens", "bits"])
+
+    return members.select("id", "tokens").mapInArrow(run, "id long, tokens binary, bits binary")
 
 
 def prefixes(members: DataFrame, rule: Rule) -> DataFrame:
@@ -202,11 +217,12 @@ def prefixes(members: DataFrame, rule: Rule) -> DataFrame:
     return members.select("id", "n", "tokens").mapInArrow(run, "token long, id long, n long")
 
 
-def memberships(prefix: DataFrame) -> DataFrame:
-    """(token, id, n, lead, lead_n, m) of the blocks: of blocks with the same sets one stays. lead is the least set, m their number."""
+def groups_of(prefix: DataFrame) -> DataFrame:
+    """(lead, lead_n, id, n): a block is a shingle and the sets that have it among their rarest, its lead the least of them; blocks of one lead are a group. Two sets of a block are in its lead's group, and so is the lead."""
     blocks = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n")).alias("lead"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("m > 1")
-    blocks = blocks.groupBy("m", "x", "y").agg(F.min(F.struct("token", "lead")).alias("b")).select("b.token", "m", F.col("b.lead.id").alias("lead"), F.col("b.lead.n").alias("lead_n"))
-    return prefix.join(cut(blocks, "blocks"), "token")
+    # of blocks with the same sets one will do
+    blocks = blocks.groupBy("m", "x", "y").agg(F.min(F.struct("token", "lead")).alias("b")).select("b.token", F.col("b.lead.id").alias("lead"), F.col("b.lead.n").alias("lead_n"))
+    return prefix.join(cut(blocks, "blocks"), "token").select("lead", "lead_n", "id", "n").distinct()
 
 
 def verified(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
@@ -298,77 +314,91 @@ def _folded(raw: list[bytes], words: int) -> np.ndarray:
     return out
 
 
-def join_nodes(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) of each task of rows (task, side, id, n, seen, bits): side 0 is joined with side 1, or with itself if there is no side 1.
+def join_nodes(rows: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) found in each task of rows (task, side, id, n, seen, bits, tokens): side 0 is joined with side 1, or with itself if there is no side 1.
 
-    Sets of one bitmap width make a tree; sizes of linked sets differ by less than two, so trees of equal or neighbouring widths are traversed."""
+    Sets of one bitmap width make a tree; sizes of linked sets differ by less than two, so trees of equal or neighbouring widths are traversed. Candidates are
+    verified on the sets; what is one component by then, from before (seen) or by links of the task, is not looked at again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["task"]):
             side, ids, n, seen = (group.column(c).to_numpy() for c in ("side", "id", "n", "seen"))
-            raw = group.column("bits").to_pylist()
+            raw, sets_ = group.column("bits").to_pylist(), group.column("tokens").to_pylist()
             width = np.array([len(x) // 8 for x in raw], np.int64)
             order = np.lexsort((ids, seen, n))
             whole = not side.any()
+            parent: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while x in parent:
+                    x = parent[x]
+                return x
 
             def tree(s: int, w: int, words: int) -> tuple[Tree, np.ndarray]:
                 at = order[(side[order] == s) & (width[order] == w)]
-                return Tree(_folded([raw[i] for i in at], words), n[at], seen[at]), ids[at]
+                return Tree(_folded([raw[i] for i in at], words), n[at], seen[at]), at
 
-            widths = sorted(set(width.tolist()))
+            widths, links = sorted(set(width.tolist())), []
             for w in widths:
                 for a, b in ((w, w), (w, 2 * w)) if whole else ((w, w), (w, 2 * w), (2 * w, w)):
                     if a in widths and b in widths:
                         (ta, ia), (tb, ib) = tree(0, a, min(a, b)), (None, None) if whole and a == b else tree(0 if whole else 1, b, min(a, b))
-                        for i, j in dual_join(ta, tb, percent):
-                            yield pa.RecordBatch.from_arrays([pa.array(ia[i]), pa.array((ia if ib is None else ib)[j])], ["a", "b"])
+                        for i, j in dual_join(ta, tb, rule.percent):
+                            for x, y in zip(ia[i].tolist(), (ia if ib is None else ib)[j].tolist()):
+                                u, v = find(int(seen[x])), find(int(seen[y]))
+                                if u != v:
+                                    one, other = (np.frombuffer(sets_[k], "<u8") for k in (x, y))
+                                    if rule.linked(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other)):
+                                        parent[max(u, v)] = min(u, v)
+                                        links.append((ids[x], ids[y]))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
 
     spread = rows.repartition("task").sortWithinPartitions("task", "side", "id")
-    return spread.select("task", "side", "id", "n", "seen", "bits").mapInArrow(run, "a long, b long")
+    return spread.select("task", "side", "id", "n", "seen", "bits", "tokens").mapInArrow(run, "a long, b long")
 
 
-def tree_candidates(apart: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """Distinct candidates (a < b) of blocks (token, id, n, m, seen) by signature trees."""
-    withbits = members.select("id", "bits")
-    small = apart.where(f"m <= {LEAF}").select(F.col("token").alias("task"), F.lit(0).alias("side"), "id", "n", "seen").join(withbits, "id")
-    found = join_nodes(small, rule.percent)
-    large = apart.where(f"m > {LEAF}")
-    if not large.isEmpty():
-        found = found.unionByName(join_nodes(_node_pairs(large, rule).join(withbits, "id"), rule.percent))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def tree_links(apart: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) of groups (lead, id, n, m, weight, seen) by signature trees; m is a group's number of sets, weight that of their shingles."""
+    held = cut(bitmaps(members.join(apart.select("id").distinct(), "id", "left_semi")), "bitmaps")
+    fits = F.expr(f"m <= {LEAF} and weight <= {WEIGHT}")
+    small = apart.where(fits).select(F.col("lead").alias("task"), F.lit(0).alias("side"), "id", "n", "seen").join(held, "id")
+    found = join_nodes(small, rule)
+    large = apart.where(~fits)
+    return found if large.isEmpty() else found.unionByName(join_nodes(_node_pairs(large, rule).join(held, "id"), rule))
 
 
 def _node_pairs(large: DataFrame, rule: Rule) -> DataFrame:
-    """(task, side, id, n, seen): blocks cut into nodes of about LEAF sets by size band, the largest component of each block in nodes of its own; a task is a pair of nodes in equal or neighbouring bands, not both of that component."""
-    counts = large.groupBy("token", "seen").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "seen")).alias("g")).select("token", F.col("g.seen").alias("giant"))
+    """(task, side, id, n, seen): groups cut into nodes of about LEAF sets and WEIGHT shingles by size band, the largest component of each group in nodes of its own; a task is a pair of nodes in equal or neighbouring bands, not both of that component."""
+    counts = large.groupBy("lead", "seen").agg(F.count(F.lit(1)).alias("c")).groupBy("lead").agg(F.max(F.struct("c", "seen")).alias("g")).select("lead", F.col("g.seen").alias("giant"))
     # linked sets' sizes differ by a factor of at most 100 / percent, the width of a band
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / rule.percent) + 1e-9)).cast("long")
-    placed = cut(large.join(counts, "token").select("token", "id", "n", "seen", band.alias("band"), (F.col("seen") != F.col("giant")).cast("int").alias("apart")), "bands")
-    sizes = placed.groupBy("token", "band", "apart").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("nodes"))
-    placed = cut(placed.join(cut(sizes, "nodes"), ["token", "band", "apart"]).withColumn("node", F.pmod(F.xxhash64("id"), F.col("nodes"))).drop("nodes"), "placed")
-    node = placed.select("token", "band", "apart", "node").distinct()
-    left = node.select("token", F.explode(F.expr("array(band, band + 1)")).alias("band"), F.col("band").alias("ba"), F.col("apart").alias("pa"), F.col("node").alias("na"))
-    right = node.select("token", "band", F.col("band").alias("bb"), F.col("apart").alias("pb"), F.col("node").alias("nb"))
-    pairs = left.join(right, ["token", "band"]).where("(pa = 1 or pb = 1) and (ba < bb or pa < pb or pa = pb and na <= nb)")
-    pairs = cut(pairs.withColumn("task", F.xxhash64("token", "ba", "pa", "na", "bb", "pb", "nb")).drop("band"), "node-pairs")
+    placed = cut(large.join(counts, "lead").select("lead", "id", "n", "seen", band.alias("band"), (F.col("seen") != F.col("giant")).cast("int").alias("apart")), "bands")
+    sizes = placed.groupBy("lead", "band", "apart").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LEAF), F.ceil(F.sum("n") / WEIGHT)).alias("nodes"))
+    placed = cut(placed.join(cut(sizes, "nodes"), ["lead", "band", "apart"]).withColumn("node", F.pmod(F.xxhash64("id"), F.col("nodes"))).drop("nodes"), "placed")
+    node = placed.select("lead", "band", "apart", "node").distinct()
+    left = node.select("lead", F.explode(F.expr("array(band, band + 1)")).alias("band"), F.col("band").alias("ba"), F.col("apart").alias("pa"), F.col("node").alias("na"))
+    right = node.select("lead", "band", F.col("band").alias("bb"), F.col("apart").alias("pb"), F.col("node").alias("nb"))
+    pairs = left.join(right, ["lead", "band"]).where("(pa = 1 or pb = 1) and (ba < bb or pa < pb or pa = pb and na <= nb)")
+    pairs = cut(pairs.withColumn("task", F.xxhash64("lead", "ba", "pa", "na", "bb", "pb", "nb")).drop("band"), "node-pairs")
 
     def side(s: int, b: str, p: str, n: str, these: DataFrame) -> DataFrame:
-        keyed = these.select("token", F.col(b).alias("band"), F.col(p).alias("apart"), F.col(n).alias("node"), "task", F.lit(s).alias("side"))
-        return placed.join(keyed, ["token", "band", "apart", "node"]).select("task", "side", "id", "n", "seen")
+        keyed = these.select("lead", F.col(b).alias("band"), F.col(p).alias("apart"), F.col(n).alias("node"), "task", F.lit(s).alias("side"))
+        return placed.join(keyed, ["lead", "band", "apart", "node"]).select("task", "side", "id", "n", "seen")
 
     return side(0, "ba", "pa", "na", pairs).unionByName(side(1, "bb", "pb", "nb", pairs.where("ba <> bb or pa <> pb or na <> nb")))
 
 
 def links_of(members: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) between sets (id, n, tokens, bits) that give their components."""
-    blocks = cut(memberships(cut(prefixes(members, rule), "prefixes")), "memberships")
+    """Links (a, b) between sets (id, n, tokens) that give their components."""
+    groups = cut(groups_of(cut(prefixes(members, rule), "prefixes")), "groups")
     fits = F.expr(f"100 * least(n, lead_n) >= {rule.percent} * greatest(n, lead_n)")
-    links = cut(verified(blocks.where("id <> lead").where(fits).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), members, rule), "links")
+    links = cut(verified(groups.where("id <> lead").where(fits).select(F.col("lead").alias("a"), F.col("id").alias("b")), members, rule), "links")
     found = components(links)
-    labelled = cut(blocks.join(found.select("id", F.col("component").alias("seen")), "id", "left").select("token", "id", "n", "m", F.coalesce("seen", "id").alias("seen")), "labelled")
-    open_blocks = cut(labelled.groupBy("token").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi")).where("lo < hi").select("token"), "open")
-    apart = cut(labelled.join(open_blocks, "token", "left_semi"), "apart")
-    return cut(links.unionByName(verified(tree_candidates(apart, members, rule), members, rule)), "links")
+    labelled = cut(groups.join(found.select("id", F.col("component").alias("seen")), "id", "left").select("lead", "id", "n", F.coalesce("seen", "id").alias("seen")), "labelled")
+    open_groups = cut(labelled.groupBy("lead").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight")).where("lo < hi").select("lead", "m", "weight"), "open")
+    apart = cut(labelled.join(open_groups, "lead"), "apart")
+    return cut(links.unionByName(tree_links(apart, members, rule)), "links")
 
 
 def link_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, passing
 
 BLOCK, WEIGHTS, REPEAT = 2048, (1, 2, 3), 3
 GOLDEN = 11400714819323198485  # 2**64 divided by the golden ratio
@@ -137,8 +137,14 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, with_slot: bool = False
     runs = pieces.groupBy("doc_id", "copy", "key", "pass").agg(F.min("word").cast("int").alias("a"), F.sum("words").cast("int").alias("n"), F.min("slot").alias("slot"))
     runs = runs.groupBy("doc_id", "copy", "key").agg(F.collect_list(F.struct("pass", "a", "n", "slot")).alias("runs"))
     runs = runs.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "copy").orderBy("key"))).drop("key")
-    full = docs.withColumn("copy", F.xxhash64("text"))
-    full = full.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "copy").orderBy(F.lit(0))))
+    full = docs.withColumn("copy", F.xxhash64("text")).withColumn("_key", F.xxhash64("doc_id", "copy"))
+    # equal rows are told apart by a number; whole texts are shuffled for it only where there are such
+    repeated = cut(full.groupBy("_key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_key"), "repeated")
+    if repeated.isEmpty():
+        full = full.withColumn("nth", F.lit(1))
+    else:
+        near, clear = passing(full, repeated, "_key")
+        full = near.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "copy").orderBy(F.lit(0)))).unionByName(clear.withColumn("nth", F.lit(1)))
     joined = full.join(runs, (full.doc_id.eqNullSafe(runs.doc_id)) & (full.copy == runs.copy) & (full.nth == runs.nth)).select(*[full[c] for c in docs.columns], runs["runs"])
     joined = joined.withColumn("run", F.explode("runs")).withColumn("size", n_words(F.col("text")))
     words = F.filter(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != "")

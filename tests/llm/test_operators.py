@@ -212,7 +212,7 @@ def test_dual_join_loses_no_link_and_prunes():
     seen = np.array([i // 3 for i in range(len(members))])
 
     def tree(at):
-        return Tree(_folded([bitmap(members[i]).tobytes() for i in at], 32), np.array([len(members[i]) for i in at]), seen[list(at)])
+        return Tree(_folded([bitmap(members[i]).tobytes() for i in at], 16), np.array([len(members[i]) for i in at]), seen[list(at)])
 
     every = range(len(members))
     want = _linked_pairs(members, rule, seen)
@@ -224,20 +224,35 @@ def test_dual_join_loses_no_link_and_prunes():
     assert {(i, j) for i, j in want if i < half <= j} <= got
 
 
-@pytest.mark.parametrize("leaf", [10_000, 20])
-def test_tree_candidates_lose_no_link(spark, leaf, monkeypatch):
+@pytest.mark.parametrize("leaf,weight", [(10_000, 1 << 20), (20, 1 << 20), (10_000, 3000)])
+def test_tree_links_give_the_components(spark, leaf, weight, monkeypatch):
     from plumbline.llm import jaccard_join
-    from plumbline.llm.jaccard_join import Rule, bitmap, tree_candidates
+    from plumbline.llm.jaccard_join import Rule, tree_links
 
     monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "WEIGHT", weight)
     rule, r = Rule(80, 5), np.random.default_rng(7)
     members = _near_sets(r, 200)
     seen = [i % 50 if i % 7 else 1000 for i in range(200)]
-    table = spark.createDataFrame([(i, len(x), bytearray(x.tobytes()), bytearray(bitmap(x).tobytes())) for i, x in enumerate(members)], "id long, n long, tokens binary, bits binary")
-    apart = spark.createDataFrame([(t, i, len(x), 200, seen[i]) for t in (1, 2) for i, x in enumerate(members)], "token long, id long, n long, m long, seen long")
-    got = [(x["a"], x["b"]) for x in tree_candidates(apart, table, rule).collect()]
-    assert len(got) == len(set(got)) and all(seen[a] != seen[b] for a, b in got)
-    assert _linked_pairs(members, rule, seen) <= set(got)
+    table = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in enumerate(members)], "id long, n long, tokens binary")
+    apart = spark.createDataFrame([(t, i, len(x), 200, sum(map(len, members)), seen[i]) for t in (1, 2) for i, x in enumerate(members)], "lead long, id long, n long, m long, weight long, seen long")
+    got, want = [(x["a"], x["b"]) for x in tree_links(apart, table, rule).collect()], _linked_pairs(members, rule, seen)
+    assert got and all((min(p), max(p)) in want for p in got) and (leaf < 200 or weight < 1 << 20 or len(got) < len(set(seen)) * 2)
+
+    def joined(pairs):
+        parent = {s: s for s in seen}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            x, y = sorted((find(seen[a]), find(seen[b])))
+            parent[y] = x
+        return {s: find(s) for s in parent}
+
+    assert joined(got) == joined(want)
 
 
 def test_samples_and_prefixes_lose_no_pair():
