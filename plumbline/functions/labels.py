@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,14 +18,23 @@ def _rules(text: Column, rules: list[tuple[Column, str | None]]) -> Column:
     return out
 
 
+def fold(text: str) -> str:
+    """The normal form of rules in Python kernels: lower case, no accents, single spaces."""
+    return " ".join("".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").lower().split())
+
+
+def _first(text: Column, rules: list[tuple[str, list[str]]]) -> Column:
+    n = normalized(text)
+    return _rules(n, [(has(n, keys), verdict) for verdict, keys in rules])
+
+
 def verdict_from_title(title: Column) -> Column:
     """Of a fact check's title: denials first, then truth, imprecision, leading negation, lack of evidence."""
     n = normalized(title)
     return _rules(n, [
-        (has(n, ["es falso", "es falsa", "false"]), "Falso"), (has(n, ["es verdadero", "es verdadera", "es cierto", "es cierta", "true"]), "Verdadero"),
-        (has(n, ["impreciso", "imprecisa"]), "Impreciso"), (has(n, ["inexacta", "inexacto"]), "Impreciso"),
-        (n.startswith("son ") | has(n, ["son falsas", "son falsos"]), "Falso"), (n.startswith("no ") | n.startswith("no,") | F.substring(n, 1, 6).contains(" no "), "Falso"),
-        (has(n, ["parcialmente falso", "parcialmente cierto"]), "Falso"), (n.contains("sin evidencia"), "Sin Evidencia"), (n.contains(" no ") & has(n, ["fue", "es"]), "Falso"),
+        (has(n, lx.TITLE_FALSE), "Falso"), (has(n, lx.TITLE_TRUE), "Verdadero"), (has(n, lx.TITLE_IMPRECISE), "Impreciso"), (n.startswith("son ") | has(n, lx.TITLE_PLURAL), "Falso"),
+        (n.startswith("no ") | n.startswith("no,") | F.substring(n, 1, 6).contains(" no "), "Falso"),
+        (has(n, lx.TITLE_PARTLY), "Falso"), (n.contains("sin evidencia"), "Sin Evidencia"), (n.contains(" no ") & has(n, ["fue", "es"]), "Falso"),
     ])
 
 
@@ -32,10 +43,8 @@ def verdict_from_url(url: Column) -> Column:
     path = F.regexp_extract(u, r"^(?:[a-z][\w+.-]*:)?(?://[^/?#]*)?([^?#;]*)", 1)
     last = F.element_at(F.split(path, "/"), -1)
     return _rules(u, [
-        (has(u, ["/explicador", "/perucheck-"]), None), (has(u, ["es-falso", "-falso-", "-falsa-", "son-falsas"]), "Falso"), (has(u, ["es-verdadero", "es-cierto", "-verdadero-"]), "Verdadero"),
-        (has(u, ["es-impreciso", "-impreciso-", "-imprecisa-"]), "Impreciso"), (u.contains("sin-evidencia"), "Sin Evidencia"), (last.startswith("no-") | path.contains("/no-"), "Falso"),
-        (has(last, ["apocrifa", "miente", "manipulada", "no-es-asi", "no-es-verdad", "es-falso", "-falsa-", "inverosimil", "incierto", "-no-"]), "Falso"),
-        (has(last, ["si-tiene", "si-fue", "si-es", "es-cierto", "es-verdad", "es-verdadero"]), "Verdadero"),
+        (has(u, lx.URL_OTHER), None), (has(u, lx.URL_FALSE), "Falso"), (has(u, lx.URL_TRUE), "Verdadero"), (has(u, lx.URL_IMPRECISE), "Impreciso"),
+        (u.contains("sin-evidencia"), "Sin Evidencia"), (last.startswith("no-") | path.contains("/no-"), "Falso"), (has(last, lx.SLUG_FALSE), "Falso"), (has(last, lx.SLUG_TRUE), "Verdadero"),
     ])
 
 
@@ -49,6 +58,25 @@ def verdict(url: Column, title: Column, jsonld: Column, content: Column) -> Colu
     return F.coalesce(verdict_from_url(url), verdict_from_title(title), verdict_from_title(jsonld), verdict_from_content(content))
 
 
+def _capital(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 30))
+
+
+def clean_claim(title: Column) -> Column:
+    """A fact check's title without its verdict: the question before one, else what comes before a verdict at the end, else what follows one at the start."""
+    t = F.trim(F.regexp_replace(title, r"\?+$", ""))
+    low = F.lower(t)
+    asked = F.trim(F.regexp_replace(F.trim(F.substring_index(t, "?", 1)), "^¿+", ""))
+    answer = F.lower(F.substring(t, F.instr(t, "?") + 1, F.lit(1 << 30)))
+    out = F.when(t.contains("?") & has(answer, lx.CLAIM_VERDICTS) & (asked != ""), _capital(asked))
+    for end in lx.CLAIM_ENDS:
+        before = F.trim(F.substring_index(t, end, 1))
+        out = out.when(low.contains(end) & (before != ""), _capital(before))
+    for start in lx.CLAIM_STARTS:
+        out = out.when(low.startswith(start), _capital(F.trim(F.substring(t, len(start) + 1, 1 << 30))))
+    return out.otherwise(t)
+
+
 def perucheck_label(rating: Column) -> Column:
     n = normalized(rating)
     return _rules(n, [(has(n, ["verdadero", "cierto"]), "true"), (has(n, ["falso", "impreciso"]), "false")])
@@ -60,13 +88,11 @@ def newtral_label(rating: Column) -> Column:
 
 
 def newtral_verdict(text: Column) -> Column:
-    n = normalized(text)
-    return _rules(n, [(has(n, ["verdad a medias", "media verdad"]), "Verdad a medias"), (has(n, ["enga", "manip", "tergivers"]), "Enganoso"), (has(n, ["falso", "falsa", "bulo", "mentira"]), "Falso"), (has(n, ["verdadero", "verdadera", "cierto", "correcto"]), "Verdadero")])
+    return _first(text, lx.NEWTRAL_VERDICTS)
 
 
 def maldita_verdict(text: Column) -> Column:
-    n = normalized(text)
-    return _rules(n, [(has(n, ["falso", "bulo"]), "Falso"), (has(n, ["verdadero", "cierto"]), "Verdadero"), (n.contains("alerta"), "Alerta"), (n.contains("contexto"), "Contexto")])
+    return _first(text, lx.MALDITA_VERDICTS)
 
 
 def maldita_label(rating: Column) -> Column:
@@ -78,8 +104,8 @@ def xfact_label(value: Column) -> Column:
     """Parts of words count, so that 'incorrect' is true: kept as the data sets were made."""
     n = normalized(value)
     return _rules(n, [
-        (n.rlike(r"^1(\.0+)?$"), "true"), (n.rlike(r"^0(\.0+)?$"), "false"), (n.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), None), (has(n, ["not enough", "nei", "unknown", "mixture", "mixed", "partly", "half"]), None),
-        (has(n, ["true", "support", "correct", "yes", "verdadero", "cierto"]), "true"), (has(n, ["false", "refute", "no", "falso", "bulo"]), "false"),
+        (n.rlike(r"^1(\.0+)?$"), "true"), (n.rlike(r"^0(\.0+)?$"), "false"), (n.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), None),
+        (has(n, lx.XFACT_SKIPPED), None), (has(n, lx.XFACT_TRUE), "true"), (has(n, lx.XFACT_FALSE), "false"),
     ])
 
 

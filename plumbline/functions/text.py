@@ -99,17 +99,21 @@ def article_context(head: Column, body: Column) -> Column:
 def cluster_normal(text: Column) -> Column:
     """ASCII letters and digits in lower case: accents and other scripts dropped, hyphens inside words closed."""
     out = F.coalesce(text, F.lit(""))
+    wide = F.when(out.rlike("[" + "".join(_WIDE) + "]"), _widened(out)).otherwise(out)  # most texts have none
+    # letters, digits and hyphens between them stay; what is not ASCII goes, and the rest parts words
+    out = F.regexp_replace(F.regexp_replace(F.lower(fold(wide)), r"[^\x00-\x7F]+", ""), r"(?<=\w)-(?=\w)", "")
+    return F.trim(F.regexp_replace(out, r"\W+", " "))
+
+
+def _widened(text: Column) -> Column:
     for wide, plain in _WIDE.items():
-        out = F.replace(out, F.lit(wide), F.lit(plain))
-    out = F.regexp_replace(fold(out), r"[^\x00-\x7F]", "")
-    out = F.regexp_replace(out, r"(?<=\w)-(?=\w)", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(out), r"[^\w\s]", " "), r"\s+", " "))
+        text = F.replace(text, F.lit(wide), F.lit(plain))
+    return text
 
 
 def cluster_tokens(text: Column, limit: int | None = None) -> Column:
     """Distinct tokens in order: no stopwords, and none of one or two letters unless it has a digit."""
-    stop = F.array(*map(F.lit, lx.STOPWORDS))
-    kept = F.array_distinct(F.filter(F.split(cluster_normal(text), " "), lambda w: (w != "") & ~F.array_contains(stop, w) & ((F.length(w) > 2) | w.rlike("[0-9]"))))
+    kept = F.array_distinct(F.filter(F.split(cluster_normal(text), " "), lambda w: ((F.length(w) > 2) & ~w.isin(lx.STOPWORDS)) | w.rlike("[0-9]")))
     return F.slice(kept, 1, limit) if limit else kept
 
 
@@ -124,7 +128,6 @@ def cleanup(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
-
 def domain(url: Column) -> Column:
     """Network location in lower case without www; a port stays."""
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://([^/?#]*)", 1)), r"^www\.", "")
@@ -153,3 +156,56 @@ def looks_english(text: Column) -> Column:
 def parse_time(text: Column) -> Column:
     iso = F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
     return F.coalesce(iso, F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
+def isoformat(time: Column) -> Column:
+    """ISO text of a time; fractions of a second only where there are any."""
+    whole = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.pmod(F.unix_micros(time.cast("timestamp")), F.lit(1_000_000)) == 0, whole).otherwise(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def date_part(text: Column) -> Column:
+    """The day of an ISO time."""
+    return F.substring_index(text, "T", 1)
+
+
+def first_date(*texts: Column) -> Column:
+    """The first text that has one, else the first day (yyyy-mm-dd) inside any."""
+    given = F.coalesce(*(F.nullif(F.trim(t), F.lit("")) for t in texts[:-1]))
+    return F.coalesce(given, F.nullif(F.regexp_extract(texts[-1], r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
+
+
+def safe_float(text: Column) -> Column:
+    """A number, or null where the text is none."""
+    t = F.lower(F.trim(text))
+    return F.when(t.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?$|^[+-]?(?:nan|inf|infinity)$"), t.try_cast("double"))
+
+
+def coerce_text(parts: Column) -> Column:
+    """A list of texts as one, in single spaces; nothing left is null."""
+    return collapse(F.concat_ws(" ", parts))
+
+
+def fix_mojibake(text: Column) -> Column:
+    """UTF-8 that was read as Latin-1, read again; what can't be stays."""
+    raw = F.encode(F.when(text.rlike(r"^[\x00-\xFF]*$"), text).otherwise(F.lit("")), "ISO-8859-1").cast("string")
+    return F.when(has(text, lx.MOJIBAKE) & text.rlike(r"^[\x00-\xFF]*$") & F.is_valid_utf8(raw), raw).otherwise(text)
+
+
+def first_present(*texts: Column) -> Column:
+    """The first that is not blank, trimmed."""
+    return F.coalesce(*(F.nullif(F.trim(t), F.lit("")) for t in texts))
+
+
+_OUTPUT = "struct<output_text: string, output: array<struct<content: array<struct<text: string>>>>>"
+
+
+def output_text(payload: Column) -> Column:
+    """The text of a model's answer (JSON): its own field, else the first text inside its output."""
+    d = F.from_json(payload, _OUTPUT)
+    inner = F.flatten(F.transform(F.coalesce(d.output, F.expr("array()").cast("array<struct<content: array<struct<text: string>>>>")), lambda x: F.coalesce(x.content.text, F.expr("array()").cast("array<string>"))))
+    return F.trim(F.coalesce(F.nullif(d.output_text, F.lit("")), F.get(F.filter(inner, lambda t: F.coalesce(t, F.lit("")) != ""), F.lit(0))))
+
+
+def summary_is_empty(text: Column, least: int = 20) -> Column:
+    return F.size(F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")) < least

@@ -28,13 +28,23 @@ def candidates(articles: DataFrame) -> DataFrame:
     return rows.where("text <> ''")
 
 
+#: Starts of codes, numbers and bullets.
+_NO_SENTENCE = r"^\s*(?:[A-Z0-9]{1,8}(?:[-/][A-Z0-9]{1,8}){1,4}\b|\d{4,}\b|[-–—]\S)"
+
+
 def usable(settings: ClaimSettings) -> Column:
     """No noise, code, number or bullet at the start, and of the right length."""
     text = F.col("text")
     n = word_count(text)
     least = F.when(F.col("origin") == "title", max(3, settings.min_words - 2)).otherwise(max(3, settings.min_words))
-    bad = has(folded(text), lx.NOISE) | text.rlike(r"^\s*[A-Z0-9]{1,8}(?:[-/][A-Z0-9]{1,8}){1,4}\b") | text.rlike(r"^\s*\d{4,}\b") | text.rlike(r"^\s*[-–—]\S")
-    return ~bad & (n >= least) & (n <= settings.max_words)
+    return ~text.rlike(_NO_SENTENCE) & n.between(least, settings.max_words) & ~has(folded(text), lx.NOISE)
+
+
+def checkable(rows: DataFrame) -> DataFrame:
+    """Rows (text) that can be claims at all: something is reported, refuted or judged in them, or they have an objective signal. One pass of one pattern spares the others the cascade."""
+    low = folded(F.col("text"))
+    told = rf"(?U)^segun |{any_of([*lx.REFUTATION, *lx.REPORTING, *lx.VERDICTS, *lx.VERDICT_CLAIMS])}|\b(?:{'|'.join(lx.FLEXIBLE_VERBS)})\b"
+    return rows.where(F.col("text").rlike(r"(?U)\d") | low.rlike(f"{any_of([*lx.OFFICIAL, *lx.ACTIONS])}|{told}"))
 
 
 def _long_enough(text: Column, words: int) -> Column:
@@ -46,7 +56,7 @@ def _after(text: Column, low: Column, markers: list[str]) -> Column:
     listed = F.array(*map(F.lit, markers))
     found = F.filter(listed, lambda m: low.contains(m))
     rest = F.transform(found, lambda m: cleanup(F.substring(text, F.instr(low, m) + F.length(m), F.lit(1 << 30))))
-    return F.get(F.filter(rest, lambda t: word_count(t) >= 3), F.lit(0))
+    return F.when(has(low, markers), F.get(F.filter(rest, lambda t: word_count(t) >= 3), F.lit(0)))
 
 
 def _tail(text: Column, length: Column) -> Column:
@@ -74,7 +84,7 @@ def project(rows: DataFrame) -> DataFrame:
     d = d.withColumn("embedded", F.when(has(tlow, lx.VERDICTS), F.coalesce(inner, last)))
     d = d.withColumn("refuted", _after(text, low, lx.REFUTATION)).withColumn("reported", _after(text, low, lx.REPORTING))
     loose = rf"(?U)^(.*?\b(?:{'|'.join(lx.FLEXIBLE_VERBS)})\b(?:\s+\S+){{0,8}}\s+que\s+)"
-    flexible = F.when(low.rlike(loose), _long_enough(cleanup(_tail(text, F.length(F.regexp_extract(low, loose, 1)))), 3))
+    flexible = F.when(low.rlike(rf"(?U)\b(?:{'|'.join(lx.FLEXIBLE_VERBS)})\b") & low.rlike(loose), _long_enough(cleanup(_tail(text, F.length(F.regexp_extract(low, loose, 1)))), 3))
     comma = F.instr(text, ",")
     by_source = F.when(low.startswith("segun ") & (comma > 0) & (comma <= 141), _long_enough(cleanup(_tail(text, comma)), 3))
     d = d.withColumn("flexible", flexible).withColumn("by_source", by_source)
@@ -120,6 +130,7 @@ def judged(rows: DataFrame) -> DataFrame:
 def score() -> Column:
     """Of the candidate's sentence and its target."""
     text, low, lt, mode = F.col("text"), F.col("low"), F.col("ltarget"), F.col("mode")
+    # fixed values: the weights
     parts = [
         (F.col("origin") == "title", 0.6), (mode.startswith("factcheck_"), 4.0), (mode.isin("reported_claim", "refutation_projected"), 0.8), (text.rlike(r"(?U)\d"), 1.5),
         (F.regexp_count(text, F.lit(r"\b[A-Z][a-z]+\b")) >= 2, 0.8), (has(low, lx.CUES), 1.0), (F.arrays_overlap(F.split(low, r"(?U)\s+"), F.array(*map(F.lit, lx.FACT_VERBS))), 0.5),
@@ -131,7 +142,9 @@ def score() -> Column:
 
 def scored_candidates(articles: DataFrame, settings: ClaimSettings = ClaimSettings()) -> DataFrame:
     """Checkable candidates with score and idx: first of equal keys in an article, then the first `max_candidates` of them."""
-    d = judged(project(candidates(articles).where(usable(settings))))
+    d = project(checkable(candidates(articles)).where(usable(settings)))
+    # a sentence of its own without an objective signal is never checked, and has no part in what follows
+    d = judged(d.where((F.col("mode") != "verbatim") | _objective(folded(F.col("target")), F.col("target"))))
     d = d.withColumn("score", score()).withColumn("key", claim_key(F.col("target"))).repartition("doc_id")
     # the gate is applied above the window: pushed below it, its condition would hold every expression it rests on, many times over
     first = W.partitionBy("doc_id", "key").orderBy(F.desc("verifiable"), "pos")

@@ -6,26 +6,17 @@ candidates from the smaller title's prefix. Each candidate pair is verified exac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from ..storage import keep
+from .preprocess import merge
 
 THRESHOLD, TITLE_BOOST, TITLE_WEIGHT, LEAD = 0.40, 0.35, 0.65, 120
-
-
-def _keep(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint where a folder is set, else by memory and disk."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+#: Members of a cluster that one key of the pairs' join holds, and ranks in one range of a running count.
+CHUNK, RANGE = 64, 1 << 40
 
 
 def contexts(articles: DataFrame) -> DataFrame:
@@ -49,82 +40,150 @@ def _prefix_pairs(sets: DataFrame, tau: float) -> DataFrame:
 
 
 def _title_pairs(sets: DataFrame, tau: float) -> DataFrame:
-    """Pairs whose overlap over the smaller title may reach tau: a prefix token of the smaller is in the other."""
+    """Pairs (a < b) whose overlap over the smaller title may reach tau: their first common token, in order of rarity, is early enough in both for the overlap that the smaller needs."""
     tokens = sets.where(F.size("title") > 0).select("id", F.size("title").alias("n"), F.explode("title").alias("t"))
     order = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(order, "t").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("df", "t")))
+    needed = F.ceil(F.col("x.n") * (tau - 1e-9))
     short = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * (tau - 1e-9)) + 1).alias("x")
     y = ranked.alias("y")
-    pairs = short.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.n") <= F.col("y.n")) & (F.col("x.id") != F.col("y.id")))
+    late = 1 + F.least(F.col("x.n") - F.col("x.r"), F.col("y.n") - F.col("y.r")) < needed
+    pairs = short.join(y, F.col("x.t") == F.col("y.t")).where((F.col("x.n") <= F.col("y.n")) & (F.col("x.id") != F.col("y.id")) & ~late)
     return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
-def _verify(rows: DataFrame) -> DataFrame:
-    """Similarity of each pair from its six token arrays, by Arrow batches of sorted arrays."""
-
-    def overlap(x: np.ndarray, y: np.ndarray) -> int:
-        return len(np.intersect1d(x, y, assume_unique=True))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(n) for n in ("ta", "la", "ba", "tb", "lb", "bb"))]
-            out = np.zeros(batch.num_rows)
-            for i in range(batch.num_rows):
-                t1, l1, b1, t2, l2, b2 = (v[o[i] : o[i + 1]] for v, o in lists)
-                jac = []
-                for x, y in ((l1, l2), (b1, b2)):
-                    n = overlap(x, y) if len(x) and len(y) else 0
-                    jac.append(n / (len(x) + len(y) - n) if n else 0.0)
-                title = overlap(t1, t2) / min(len(t1), len(t2)) if len(t1) and len(t2) else 0.0
-                content = max(jac)
-                mixed = TITLE_WEIGHT * title + (1 - TITLE_WEIGHT) * content if title >= TITLE_BOOST else content
-                out[i] = round(max(jac[1], mixed), 4)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "sim"])
-
-    return rows.mapInArrow(run, "a long, b long, sim double")
+def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, sim) of each pair (a, b): title overlap over the smaller, and the greater Jaccard of lead and body; a title above its threshold is mixed in."""
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("title").alias("t" + k), F.col("lead").alias("l" + k), F.col("body").alias("b" + k))
+    d = pairs.join(side("a"), "a").join(side("b"), "b")
+    sizes = {f"{c}n{k}": F.size(c + k) for c in "tlb" for k in "ab"}
+    common = {f"{c}n": F.size(F.array_intersect(c + "a", c + "b")) for c in "tlb"}
+    d = d.select("a", "b", *(v.alias(k) for k, v in {**sizes, **common}.items()))
+    jaccard = lambda c: F.when(F.col(f"{c}n") == 0, 0.0).otherwise(F.col(f"{c}n") / (F.col(f"{c}na") + F.col(f"{c}nb") - F.col(f"{c}n")))
+    title = F.when(F.col("tn") == 0, 0.0).otherwise(F.col("tn") / F.least("tna", "tnb"))
+    content = F.greatest(jaccard("l"), jaccard("b"))
+    mixed = F.when(title >= TITLE_BOOST, TITLE_WEIGHT * title + (1 - TITLE_WEIGHT) * content).otherwise(content)
+    return d.select("a", "b", F.bround(F.greatest(jaccard("b"), mixed), 4).alias("sim"))
 
 
 def similar_pairs(articles: DataFrame, tau: float = THRESHOLD) -> DataFrame:
     """(a, b, sim) of all pairs with similarity of at least tau."""
+    return pairs_of_sets(keep(contexts(articles), "contexts"), tau)
+
+
+def pairs_of_sets(sets: DataFrame, tau: float = THRESHOLD) -> DataFrame:
     if tau <= 0:
         raise ValueError("the threshold must be above 0")
     least = tau - 0.00005  # similarities are rounded to four places
-    sets = _keep(contexts(articles))
     pairs = _prefix_pairs(sets.select("id", F.col("body").alias("s")), least).union(_prefix_pairs(sets.select("id", F.col("lead").alias("s")), least)).union(_title_pairs(sets, max(TITLE_BOOST, (least - (1 - TITLE_WEIGHT)) / TITLE_WEIGHT))).distinct()
-    side = lambda k: sets.select(F.col("id").alias(k), F.array_sort("title").alias("t" + k), F.array_sort("lead").alias("l" + k), F.array_sort("body").alias("b" + k))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "la", "ba", "tb", "lb", "bb")
-    return _verify(full).where(F.col("sim") >= tau)
+    return _similarities(keep(pairs, "pairs"), sets).where(F.col("sim") >= tau)
 
 
-def leaders(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+def leaders(ids: DataFrame, pairs: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """ids (id, rank) and pairs to (id, leader, sim): an article founds a cluster iff no earlier founder is similar; else it
-    joins the most similar earlier founder, the earliest of equals. Rounds decide all whose earlier neighbours are decided."""
-    r = ids.select("id", "rank")
-    e = pairs.join(r.withColumnsRenamed({"id": "a", "rank": "ra"}), "a").join(r.withColumnsRenamed({"id": "b", "rank": "rb"}), "b")
-    first = F.col("ra") < F.col("rb")
-    edges = _keep(e.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("dst"), "sim", F.least("ra", "rb").alias("rank")))
-    state = _keep(r.join(edges.select(F.col("dst").alias("id")).distinct().withColumn("later", F.lit(True)), "id", "left").select("id", F.when(F.col("later").isNull(), F.lit(1)).alias("founder")))
+    joins the most similar earlier founder, the earliest of equals; equal ranks go by id. Rounds decide all whose earlier neighbours are decided.
+
+    seeds (id) of ids are founders from the start, earlier than all others."""
+    order = F.struct(F.col("seed"), F.col("rank"), F.col("id")).alias("o")
+    known = ids.select("id", "rank") if seeds is None else ids.select("id", "rank").join(seeds.select("id").distinct().withColumn("s", F.lit(True)), "id", "left")
+    known = known.select("id", "rank", (F.lit(1) if seeds is None else F.when(F.col("s"), 0).otherwise(1)).alias("seed")).select("id", "seed", order)
+    e = pairs.join(known.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(known.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
+    first = F.col("oa") < F.col("ob")
+    edges = e.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("dst"), "sim", F.least("oa", "ob").alias("o"), F.greatest("oa", "ob").alias("later"))
+    edges = keep(edges.where("later.seed = 1").drop("later"), "edges")
+    state = known.join(edges.select(F.col("dst").alias("id")).distinct().withColumn("later", F.lit(True)), "id", "left")
+    state = keep(state.select("id", F.when((F.col("seed") == 0) | F.col("later").isNull(), F.lit(1)).alias("founder")), "founders")
     while not state.where("founder is null").isEmpty():
         near = edges.join(state.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.max("founder").alias("any"), F.count(F.when(F.col("founder").isNull(), 1)).alias("open"))
         near = near.withColumnRenamed("dst", "id")
         now = F.when(F.col("founder").isNotNull(), F.col("founder")).when(F.col("any") == 1, 0).when(F.col("open") == 0, 1)
-        state = _keep(state.join(near, "id", "left").select("id", now.cast("int").alias("founder")))
+        state = keep(state.join(near, "id", "left").select("id", now.cast("int").alias("founder")), "founders")
     joins = edges.join(state.where("founder = 1").select(F.col("id").alias("src")), "src").join(state.where("founder = 0").select(F.col("id").alias("dst")), "dst")
-    best = joins.groupBy("dst").agg(F.max_by(F.struct("src", "sim"), F.struct("sim", -F.col("rank"))).alias("m"))
-    return state.where("founder = 1").select("id", F.col("id").alias("leader"), F.lit(1.0).alias("sim")).unionByName(best.select(F.col("dst").alias("id"), "m.src", "m.sim").withColumnRenamed("src", "leader"))
+    # the greatest similarity, of equals the earliest founder
+    best = joins.groupBy("dst").agg(F.min(F.struct((-F.col("sim")).alias("neg"), "o", "src")).alias("m"))
+    return state.where("founder = 1").select("id", F.col("id").alias("leader"), F.lit(1.0).alias("sim")).unionByName(best.select(F.col("dst").alias("id"), F.col("m.src").alias("leader"), (-F.col("m.neg")).alias("sim")))
 
 
-def representatives(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(leader, representative, cluster_score, size): the member of greatest mean similarity to the others, the smallest id of equals; score is its mean, 1 when alone.
+def member_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, a, b, sim) of all pairs (a < b) inside each cluster of members (id, leader).
 
-    Pairs below the threshold count as 0 only if they are absent; pass pairs of a lower threshold for exact means."""
-    m = members.select("id", "leader")
-    x = pairs.join(m.withColumnRenamed("id", "a"), "a").join(m.withColumnsRenamed({"id": "b", "leader": "other"}), "b").where("leader = other")
-    both = x.select("leader", F.col("a").alias("id"), "sim").unionByName(x.select("leader", F.col("b").alias("id"), "sim"))
-    size = m.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
-    sums = both.groupBy("leader", "id").agg(F.sum("sim").alias("s"))
-    means = m.join(size, "leader").join(sums, ["leader", "id"], "left").withColumn("mean", F.when(F.col("size") == 1, F.lit(1.0)).otherwise(F.coalesce("s", F.lit(0.0)) / (F.col("size") - 1)))
-    best = means.groupBy("leader").agg(F.max(F.struct(F.round("mean", 10).alias("m"), (-F.col("id")).alias("neg"))).alias("r"), F.max("size").alias("size"))
-    return best.select("leader", (-F.col("r.neg")).alias("representative"), F.round("r.m", 4).alias("cluster_score"), "size")
+    A cluster is cut into chunks of CHUNK members, and pairs of chunks are joined, so that a large cluster is many keys."""
+    sizes = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks")).where("chunks > 0")
+    m = members.select("id", "leader").join(keep(sizes, "chunks"), "leader").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    m = keep(m, "chunked").withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    keyed = lambda k: m.select("leader", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("own").alias("o" + k), F.col("id").alias(k))
+    pairs = keyed("a").join(keyed("b"), ["leader", "x", "y"]).where("a < b and (x = y or oa <> ob)").select("leader", "a", "b")
+    return pairs.join(_similarities(pairs.select("a", "b"), sets), ["a", "b"]).select("leader", "a", "b", "sim")
 
 
+def representatives(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, representative, cluster_score, size) of clusters (id, leader): the member of greatest mean similarity to all others, the smallest id of equals; score is its mean, 1 when alone.
+
+    sets are the members' contexts; every pair inside a cluster counts, whatever its similarity."""
+    x = keep(member_pairs(members, sets), "member-pairs")
+    both = x.select("leader", F.col("a").alias("id"), "sim").unionByName(x.select("leader", F.col("b").alias("id"), "sim"))
+    # sums of four-place numbers are taken in decimals, so that they don't depend on the order of rows
+    means = both.groupBy("leader", "id").agg((F.sum(F.col("sim").cast("decimal(10,4)")).cast("double") / F.count(F.lit(1))).alias("mean"))
+    size = members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    d = members.select("id", "leader").join(means, ["leader", "id"], "left").withColumn("mean", F.bround(F.coalesce("mean", F.lit(1.0)), 4))
+    best = d.groupBy("leader").agg(F.max(F.struct("mean", (-F.col("id")).alias("neg"))).alias("r"))
+    return best.join(size, "leader").select("leader", (-F.col("r.neg")).alias("representative"), F.col("r.mean").alias("cluster_score"), "size")
+
+
+# --- the stage: incremental, with logs ---------------------------------------------------------------
+def incremental(articles: DataFrame, members: DataFrame, clusters: DataFrame, tau: float = THRESHOLD, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Members (news_processed_id, cluster_id, source_id) and clusters (cluster_id, representative_id, source_id, cluster_score) after articles (id, title, text, source_id, rank).
+
+    Articles that are members stay where they are. New ones are compared with the representatives of the clusters and with founders among
+    themselves, in order of rank; founders open clusters under the next ids (after those of `others`, too). Every cluster with one of the articles gets its representative and score anew."""
+    sets = keep(contexts(articles), "contexts")
+    known = members.select(F.col("news_processed_id").alias("id"), "cluster_id")
+    new = keep(articles.select("id", "rank", "source_id").join(known, "id", "left_anti"), "new")
+    reps = clusters.where("representative_id is not null").select(F.col("representative_id").alias("id"), F.col("cluster_id").alias("rank"))
+    seeds = keep(reps.join(new, "id", "left_anti"), "seeds")
+    compared = sets.join(new.select("id").unionByName(seeds.select("id")).distinct(), "id", "left_semi")
+    found = keep(leaders(new.select("id", "rank").unionByName(seeds.select("id", "rank")), pairs_of_sets(keep(compared, "compared"), tau), seeds), "found")
+    most = (clusters if others is None else clusters.select("cluster_id").unionByName(others.select("cluster_id"))).agg(F.coalesce(F.max("cluster_id"), F.lit(0)).alias("most"))
+    founders = new.join(found.where("id = leader").select("id"), "id", "left_semi")
+    numbered = ranked(founders).join(F.broadcast(most)).select(F.col("id").alias("leader"), (F.col("most") + F.col("nth")).alias("cluster_id"))  # one row
+    named = keep(numbered.unionByName(seeds.select(F.col("id").alias("leader"), F.col("rank").alias("cluster_id"))), "named")
+    joined = new.join(found.select("id", "leader"), "id").join(named, "leader").select(F.col("id").alias("news_processed_id"), "cluster_id", "source_id")
+    every = keep(merge(members.select("news_processed_id", "cluster_id", "source_id"), joined, ["news_processed_id"]), "members")
+    # a cluster is touched by any of its members among the articles
+    touched = every.join(articles.select(F.col("id").alias("news_processed_id")), "news_processed_id", "left_semi").select("cluster_id").distinct()
+    inside = every.join(touched, "cluster_id", "left_semi").select(F.col("news_processed_id").alias("id"), F.col("cluster_id").alias("leader"))
+    best = representatives(keep(inside.join(sets.select("id"), "id", "left_semi"), "inside"), sets).select(F.col("leader").alias("cluster_id"), F.col("representative").alias("representative_id"), "cluster_score")
+    first = new.join(numbered, new.id == numbered.leader).select("cluster_id", "source_id")
+    old = clusters.select("cluster_id", "source_id", F.col("representative_id").alias("_r"), F.col("cluster_score").alias("_s"))
+    both = old.unionByName(first, allowMissingColumns=True).join(best, "cluster_id", "left")
+    return every, keep(both.select("cluster_id", F.coalesce("representative_id", "_r").alias("representative_id"), "source_id", F.coalesce("cluster_score", "_s").alias("cluster_score")), "clusters")
+
+
+def ranked(rows: DataFrame, width: int = RANGE) -> DataFrame:
+    """rows (id, rank) with nth from 1 in order of (rank, id): counted in ranges of ranks first."""
+    keyed = rows.withColumn("_k", F.floor(F.col("rank") / width))
+    before = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("c")).withColumn("_b", F.sum("c").over(W.orderBy("_k")) - F.col("c")).drop("c")  # one row a range
+    return keyed.withColumn("_r", F.row_number().over(W.partitionBy("_k").orderBy("rank", "id"))).join(before, "_k").withColumn("nth", F.col("_r") + F.col("_b")).drop("_k", "_r", "_b")
+
+
+def scoped(rows: DataFrame, source_id: int | None = None, cross_source: bool = True) -> DataFrame:
+    """Rows of one source where clusters don't cross sources, else all."""
+    return rows if cross_source or source_id is None else rows.where(F.col("source_id") == source_id)
+
+
+def stage(articles: DataFrame, members: DataFrame, clusters: DataFrame, tau: float = THRESHOLD, source_id: int | None = None, cross_source: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, clusters and logs (news_processed_id, stage, status, message, model_version) of the clustering stage; fewer than two articles make a failed log each and no cluster."""
+    own = scoped(articles, source_id, cross_source)
+    version = F.lit(f"hybrid:{tau}").alias("model_version")
+    named = F.lit("clustering").alias("stage")
+    if own.limit(2).count() < 2:
+        logs = own.select(F.col("id").alias("news_processed_id"), named, F.lit("failed").alias("status"), F.lit("No hay suficientes articulos para clustering.").alias("message"), version)
+        return members, clusters, logs
+    inside, outside = scoped(members, source_id, cross_source), scoped(clusters, source_id, cross_source)
+    every, made = incremental(own, inside, outside, tau, clusters)
+    if not cross_source and source_id is not None:
+        every, made = merge(members, every, ["news_processed_id"]), merge(clusters.select(*made.columns), made, ["cluster_id"])
+    touched = every.join(own.select(F.col("id").alias("news_processed_id")), "news_processed_id", "left_semi").select("cluster_id").distinct()
+    done = made.join(touched, "cluster_id", "left_semi")
+    message = F.format_string("Cluster %d generado con score %.3f.", "cluster_id", "cluster_score").alias("message")
+    return every, made, done.select(F.col("representative_id").alias("news_processed_id"), named, F.lit("success").alias("status"), message, version)

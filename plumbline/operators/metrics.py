@@ -102,8 +102,23 @@ def fit_thresholds(rows: DataFrame, least_false: float = 0.90, least_true: float
     d = d.withColumn("h", high).where("h is not null and t_le + f_le > 0")
     pairs = d.select(F.col("s").alias("low"), "h.*", (F.col("t_le") + F.col("f_le")).alias("pred_true"), F.col("t_le").alias("tp_true"), "n", "true_total", "false_total")
     m = triage_metrics(pairs).where((F.col("false_precision") >= least_false) & (F.col("true_precision") >= least_true))
-    key = [F.desc(F.round("coverage", 12)), F.desc(F.round("macro_f1", 12)), F.desc(F.round("decided_accuracy", 12)), F.desc(F.round(F.col("false_precision") + F.col("true_precision"), 12)), F.asc("low"), F.asc("high")]
-    return m.orderBy(*key).limit(1)
+    return m.orderBy(*_best_first()).limit(1)
+
+
+def _best_first() -> list[Column]:
+    return [F.desc(F.round("coverage", 12)), F.desc(F.round("macro_f1", 12)), F.desc(F.round("decided_accuracy", 12)), F.desc(F.round(F.col("false_precision") + F.col("true_precision"), 12)), F.asc("low"), F.asc("high")]
+
+
+def threshold_candidates(rows: DataFrame, k: int = 5) -> DataFrame:
+    """The k best (low, high) of all, without constraints: a wider gap above a low never covers more, so each low is tried with the next k highs."""
+    d = _cumulative(rows, "risk", 6)
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("gold") == "true", 1)).alias("true_total"), F.count(F.when(F.col("gold") == "false", 1)).alias("false_total"))
+    d = d.join(F.broadcast(total))  # one row
+    high = F.struct(F.col("s").alias("high"), (F.col("n") - F.col("t_lt") - F.col("f_lt")).alias("pred_false"), (F.col("false_total") - F.col("f_lt")).alias("tp_false"))
+    # one row for each distinct score of six places, at most a million and one
+    d = d.withColumn("highs", F.collect_list(high).over(W.orderBy("s").rowsBetween(1, max(k, 1)))).withColumn("h", F.explode("highs"))
+    pairs = d.select(F.col("s").alias("low"), "h.*", (F.col("t_le") + F.col("f_le")).alias("pred_true"), F.col("t_le").alias("tp_true"), "n", "true_total", "false_total")
+    return triage_metrics(pairs).orderBy(*_best_first()).limit(max(k, 1))
 
 
 def best_f1_threshold(rows: DataFrame, score: str = "risk") -> DataFrame:
@@ -133,27 +148,30 @@ def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
     return all_.select("id", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
 
 
+def lcs_f1(a: list[str], b: list[str]) -> float:
+    """F1 of the longest common subsequence of two token lists: rows of the dynamic program are the bits of one number, so a step of it is a few machine words."""
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    at: dict[str, int] = dict.fromkeys(short, 0)
+    for i, w in enumerate(long):
+        if w in at:
+            at[w] |= 1 << i
+    row = full = (1 << len(long)) - 1
+    for w in short:
+        hit = row & at[w]
+        row = (row + hit) | (row - hit)
+    n = len(long) - (row & full).bit_count()
+    return 2 * (n / len(a)) * (n / len(b)) / (n / len(a) + n / len(b)) if n else 0.0
+
+
 def rouge_l(pairs: DataFrame) -> DataFrame:
-    """F1 of the longest common subsequence of the whole texts, by a vectorised dynamic program over Arrow batches."""
+    """F1 of the longest common subsequence of the whole texts, over Arrow batches."""
     from collections.abc import Iterator
 
-    import numpy as np
     import pyarrow as pa
 
-    def length(a: list[str], b: list[str]) -> int:
-        number = {w: i for i, w in enumerate(dict.fromkeys(a))}
-        y = np.array([number.get(w, -1) for w in b])
-        row = np.zeros(len(b) + 1, np.int64)
-        for w in (number[w] for w in a):
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], (row[:-1] + 1) * (y == w)))
-        return int(row[-1]) if len(b) else 0
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for a, b in zip(batch.column("c").to_pylist(), batch.column("r").to_pylist()):
-                n = length(a, b)
-                out.append(0.0 if not n else 2 * (n / len(a)) * (n / len(b)) / (n / len(a) + n / len(b)))
+            out = [lcs_f1(a, b) for a, b in zip(batch.column("c").to_pylist(), batch.column("r").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.float64())], ["id", "f1"])
 
     d = pairs.select("id", rouge_tokens(F.col("candidate")).alias("c"), rouge_tokens(F.col("reference")).alias("r"))

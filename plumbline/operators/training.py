@@ -41,14 +41,3 @@ def guess_column(columns: list[str], preferred: list[str]) -> str | None:
     exact = [p for p in preferred if p in columns]
     loose = [c for c in columns if any(p in c.lower() for p in preferred)]
     return next(iter(exact + loose), None)
-
-
-def cache_stats(calls: DataFrame, ttl: int = 3600) -> DataFrame:
-    """calls (key, at): hits, misses and hit rate of a cache whose entries last to the end of their slot of `ttl` seconds, counted from the first call of a run without a gap of ttl."""
-    gap = F.col("at").cast("long") - F.lag(F.col("at").cast("long")).over(W.partitionBy("key").orderBy("at"))
-    runs = calls.withColumn("run", F.sum(F.when(gap.isNull() | (gap >= ttl), 1).otherwise(0)).over(W.partitionBy("key").orderBy("at")))
-    first = F.min(F.col("at").cast("long")).over(W.partitionBy("key", "run"))
-    made = runs.withColumn("slot", F.floor((F.col("at").cast("long") - first) / ttl)).groupBy("key", "run", "slot").agg(F.count(F.lit(1)).alias("n"))
-    d = made.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("hits"), F.count(F.lit(1)).alias("misses"))
-    rate = F.when(F.col("hits") + F.col("misses") > 0, 100.0 * F.col("hits") / (F.col("hits") + F.col("misses"))).otherwise(0.0)
-    return d.withColumn("hit_rate", F.format_string("%.2f%%", rate))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,51 +11,26 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import claims, clustering, datasets, evidence, metrics, preprocess, scoring, serving, summaries, training
 from ..sources import html, tables
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
+from ..storage import keep, work_folder
+from ..streaming import jobs
+from . import registry
+from .registry import BASE, CONTENT, FOUND, MEANS, NEAR, NEWS, RAW, SETS, SOURCE_ID, Query, query, token_list
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from . import analyses, kernels, pages, publishing  # noqa: F401
+
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(registry.SQL)
 
 
 # --- SQL fragments ---------------------------------------------------------------------------------
-CONTENT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
-TITLE = f"case when trim(split_part({CONTENT}, '.', 1)) <> '' then substr(trim(split_part({CONTENT}, '.', 1)), 1, 160) else substr({CONTENT}, 1, 160) end"
-SOURCE_ID = "cast(regexp_extract(source, '(\\d+)$', 1) as int)"
-RAW = f"raw as (select doc_id as news_raw_id, {SOURCE_ID} as source_id, source, {TITLE} as title_raw, {CONTENT} as content_raw, 'https://' || source || '.example/' || doc_id as original_url, timestamp '2024-01-01' + to_minutes(doc_id) as published_at from documents)"
-_CLEAN = "title_raw || chr(10) || content_raw"
-for _p in ("<[^>]+>", "https?://\\S+|www\\.\\S+", "[@#][\\p{L}\\p{N}_]+", "[^\\p{L}\\p{N}_\\s.,;:!?-]", "\\s+"):
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', ' ', 'g')"
-CLEANED = f"cleaned as (select *, trim({_CLEAN}) as clean_text from raw)"
-
-
-def _count(markers: list[str]) -> str:
-    return " + ".join(f"cast(contains(' ' || lower(clean_text) || ' ', '{m}') as int)" for m in markers)
-
-
-PROCESSED = f"""processed as (select *, case when {_count(lx.SPANISH_MARKERS)} >= 2 then 'es' when {_count(lx.ENGLISH_MARKERS)} >= 2 then 'en' when trim(clean_text) <> '' then 'unknown' else 'empty' end as language,
-    len(list_filter(string_split(clean_text, ' '), lambda x: x <> '')) as token_count from cleaned)"""
-BASE = f"with {RAW}, {CLEANED}, {PROCESSED}"
 FOLDED = "lower(strip_accents(text))"
 LABELS = "scored as (select doc_id, case when quality = 1 then 'true' else 'false' end as gold, round(((doc_id * 7919) % 1000) / 2000.0 + (1 - quality) * 0.5, 4) as risk from labels)"
-NEWS = "news as (select doc_id as news_id, source, cast(regexp_extract(source, '(\\d+)$', 1) as int) as source_id, case when doc_id % 11 <> 0 then timestamp '2024-01-01' + to_minutes(doc_id) end as published_at, round(((doc_id * 7919) % 10000) / 10000.0, 4) as fake_score from documents)"
 
 
 def _news(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,10 +83,7 @@ def infer_headline(spark, sf):
     return tables.news_raw(spark, sf).select("news_raw_id", F.col("title_raw").alias("headline"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in lx.STOPWORDS)
-_NORMAL = "regexp_replace(strip_accents(title_raw || ' ' || content_raw), '[^\\x00-\\x7F]', '', 'g')"
-_NORMAL = f"regexp_replace(lower(regexp_replace(regexp_replace({_NORMAL}, '([A-Za-z0-9_])-([A-Za-z0-9_])', '\\1\\2', 'g'), '([A-Za-z0-9_])-([A-Za-z0-9_])', '\\1\\2', 'g')), '[^a-z0-9_\\s]', ' ', 'g')"
-_TOKENS = f"list_distinct(list_filter(string_split(trim(regexp_replace({_NORMAL}, '\\s+', ' ', 'g')), ' '), lambda w: w <> '' and w not in ({_STOP}) and (length(w) > 2 or regexp_matches(w, '[0-9]'))))"
+_TOKENS = f"list_distinct({token_list('title_raw || chr(32) || content_raw')})"
 
 
 @query(f"with {RAW} select news_raw_id, cast(len(t) as bigint) as tokens, md5(array_to_string(list_sort(t), ' ')) as digest from (select news_raw_id, {_TOKENS} as t from raw)")
@@ -157,58 +127,58 @@ def _articles(spark: SparkSession, sf: str) -> DataFrame:
     return _processed(spark, sf).where("status = 'ok'").select(F.col("news_raw_id").alias("id"), F.col("title_raw").alias("title"), F.col("clean_text").alias("text"), "published_at")
 
 
-_SETS = "ok as (select news_raw_id as id, title_raw, clean_text from processed where token_count >= 50)"
-
-
 def _sql_tokens(text: str) -> str:
-    return _TOKENS.replace("title_raw || ' ' || content_raw", text)
+    return f"list_distinct({token_list(text)})"
 
 
-@query(f"""{BASE}, {_SETS}, t as (select id, unnest(x) as w, len(x) as n from (select id, {_sql_tokens("clean_text")} as x from ok)),
+@query(f"""{BASE}, {SETS}, t as (select id, unnest(x) as w, len(x) as n from (select id, {_sql_tokens("clean_text")} as x from ok)),
     p as (select a.id as a, b.id as b, count(*) as o, any_value(a.n) as na, any_value(b.n) as nb from t a join t b on a.w = b.w and a.id < b.id group by 1, 2)
     select a, b, round(o / (na + nb - o), 4) as jaccard from p where o / (na + nb - o) >= 0.6""")
 def body_jaccard_pairs(spark, sf):
-    sets = clustering.contexts(_articles(spark, sf))
-    pairs = clustering._prefix_pairs(sets.select("id", F.col("body").alias("s")), 0.6).distinct()
+    sets = keep(clustering.contexts(_articles(spark, sf)).select("id", "body"), "bodies")
+    pairs = keep(clustering._prefix_pairs(sets.select("id", F.col("body").alias("s")), 0.6).distinct(), "pairs")
     d = pairs.join(sets.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-    n = F.size(F.array_intersect("x", "y"))
-    j = n / (F.size("x") + F.size("y") - n)
-    return d.select("a", "b", j.alias("j")).where("j >= 0.6").select("a", "b", F.round("j", 4).alias("jaccard"))
+    d = d.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("both"))
+    return d.select("a", "b", (F.col("n") / (F.col("both") - F.col("n"))).alias("j")).where("j >= 0.6").select("a", "b", F.round("j", 4).alias("jaccard"))
 
 
-@query(f"""{BASE}, {_SETS}, t as (select id, unnest(x) as w, len(x) as n from (select id, {_sql_tokens("title_raw")} as x from ok)),
+@query(f"""{BASE}, {SETS}, t as (select id, unnest(x) as w, len(x) as n from (select id, {_sql_tokens("title_raw")} as x from ok)),
     p as (select a.id as a, b.id as b, count(*) as o, least(any_value(a.n), any_value(b.n)) as n from t a join t b on a.w = b.w and a.id < b.id group by 1, 2)
     select a, b, round(o / n, 4) as overlap from p where o / n >= 0.5""")
 def title_overlap_pairs(spark, sf):
-    sets = clustering.contexts(_articles(spark, sf))
+    sets = keep(clustering.contexts(_articles(spark, sf)).select("id", "title"), "titles")
     pairs = clustering._title_pairs(sets, 0.5).distinct()
     d = pairs.join(sets.select(F.col("id").alias("a"), F.col("title").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("title").alias("y")), "b")
     o = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
     return d.select("a", "b", o.alias("o")).where("o >= 0.5").select("a", "b", F.round("o", 4).alias("overlap"))
 
 
-@query()
+@query(f"{NEAR} select a, b, sim from near")
 def hybrid_similarity(spark, sf):
     return clustering.similar_pairs(_articles(spark, sf))
 
 
 def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    articles = _articles(spark, sf)
-    pairs = clustering._keep(clustering.similar_pairs(articles))
-    return clustering.leaders(articles.select("id", F.col("id").alias("rank")), pairs), pairs
+    """Leaders of all articles in order of their time, and their token sets."""
+    articles = keep(_articles(spark, sf), "articles")
+    sets = keep(clustering.contexts(articles), "contexts")
+    ids = articles.select("id", F.unix_micros(F.col("published_at").cast("timestamp")).alias("rank"))
+    return keep(clustering.leaders(ids, keep(clustering.pairs_of_sets(sets), "pairs")), "leaders"), sets
 
 
-@query()
+@query(f"{FOUND} select id, leader, sim from clusters")
 def leader_clusters(spark, sf):
     return _clusters(spark, sf)[0]
 
 
-@query()
+@query(f"{FOUND}, {MEANS} select leader, arg_max(id, (mean, -id)) as representative, max(mean) as cluster_score, count(*) as size from members group by leader")
 def cluster_representatives(spark, sf):
     return clustering.representatives(*_clusters(spark, sf))
 
 
-@query()
+@query(f"""{FOUND}, {NEWS}, m as (select c.id as news_id, leader as cluster_id, n.published_at from clusters c join news n on n.news_id = c.id)
+    select x.news_id, y.news_id as peer, cast(row_number() over (partition by x.news_id order by y.published_at desc, y.news_id) as int) as rank from m x join m y on x.cluster_id = y.cluster_id and x.news_id <> y.news_id where y.published_at is not null
+    qualify row_number() over (partition by x.news_id order by y.published_at desc, y.news_id) <= 5""")
 def similar_published(spark, sf):
     members, _ = _clusters(spark, sf)
     return serving.similar_published(_news(spark, sf), members.select(F.col("id").alias("news_id"), F.col("leader").alias("cluster_id")))
@@ -402,8 +372,7 @@ def dedupe_claims(spark, sf):
     return d.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("k")
 
 
-def _values(rows: list[str]) -> str:
-    return ", ".join("('" + r.replace("'", "''") + "')" for r in rows)
+_values = registry.values
 
 
 _TITLES = ["Es falso que llueve", "¿Subió? Es verdadero", "Dato impreciso del alcalde", "No, el congreso no votó", "Sin evidencia de ello", "Son falsas las cifras", "El acto fue ayer y no hoy", "Nada", "Parcialmente cierto", "Es ciérta la cifra"]
@@ -458,12 +427,34 @@ def claim_candidates(spark, sf):
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("candidates"))
 
 
-@query()
+def _any(x: str, markers: list[str]) -> str:
+    return "(" + " or ".join(f"contains({x}, '{m}')" for m in markers) + ")"
+
+
+def _starts(x: str, markers: list[str]) -> str:
+    return "(" + " or ".join(f"starts_with({x}, '{m}')" for m in markers) + ")"
+
+
+# no document reports, refutes or judges, so that all claims are sentences with an objective signal
+_VERBATIM = f"""with {RAW}, s as (select news_raw_id, 0 as pos, 'title' as origin, title_raw as x, 4 as least from raw union all select news_raw_id, i, 'body', l[i], 6 from (select news_raw_id, l, unnest(range(1, len(l) + 1)) as i from (select news_raw_id, list_filter(string_split(regexp_replace(content_raw, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: x <> '') as l from raw))),
+    u as (select *, lower(strip_accents(x)) as low from s where x <> '' and len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]+')) between least and 40 and not regexp_matches(x, '^\\s*[A-Z0-9]{{1,8}}([-/][A-Z0-9]{{1,8}}){{1,4}}\\b') and not regexp_matches(x, '^\\s*\\d{{4,}}\\b') and not regexp_matches(x, '^\\s*[-–—]\\S')),
+    t as (select *, trim(regexp_replace(regexp_replace(trim(x, ' :;,."''()[]'), '(?i)^(?:{lx.DISCOURSE_CUT})\\s*,?\\s+', ''), '\\s+', ' ', 'g')) as target from u where not {_any("low", lx.NOISE)}),
+    l as (select *, lower(strip_accents(target)) as lt from t),
+    v as (select * from l where (regexp_matches(target, '[0-9]') or {_any("lt", lx.OFFICIAL)} or {_any("lt", lx.ACTIONS)}) and not {_any("lt", lx.WEAK_TARGETS)} and not {_starts("lt", lx.CONTEXT_STARTS)}
+        and not {_any("' ' || lt || ' '", [f" {m.strip()} " for m in lx.FIRST_PERSON])} and not {_starts("lt", lx.FIRST_PERSON)} and not {_any("lt", lx.OPINION)} and not {_any("lt", lx.LOW_VALUE)} and not ends_with(x, '?') and not {_starts("lt", lx.QUESTIONS)}),
+    f as (select * from v qualify row_number() over (partition by news_raw_id, trim(regexp_replace(lt, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) order by pos) = 1),
+    n as (select *, row_number() over (partition by news_raw_id order by pos) - 1 as idx from f qualify idx < 30),
+    g as (select *, round(case when origin = 'title' then 0.6 else 0 end + case when regexp_matches(x, '[0-9]') then 1.5 else 0 end + case when len(regexp_extract_all(x, '\\b[A-Z][a-z]+\\b')) >= 2 then 0.8 else 0 end + case when {_any("low", lx.CUES)} then 1.0 else 0 end
+        + case when list_has_any(string_split_regex(low, '\\s+'), {lx.FACT_VERBS}) then 0.5 else 0 end + case when {_any("low", lx.OFFICIAL)} then 0.5 else 0 end + case when {_any("low", lx.ACTIONS)} then 0.8 else 0 end + case when {_starts("lt", lx.DISCOURSE_STARTS)} then -0.8 else 0 end
+        + case when contains(x, ':') and regexp_matches(x, '["“”]') then -0.8 else 0 end, 4)::double as score from n)"""
+
+
+@query(f"{_VERBATIM}, r as (select *, row_number() over (partition by news_raw_id order by score desc, idx) as rank from g) select news_raw_id as doc_id, rank, x as claim, target, 'verbatim' as mode, target as model_input, score from r where rank <= 3")
 def claim_top3(spark, sf):
     return claims.extract_claims(_claim_articles(spark, sf)).drop("quality_reasons")
 
 
-@query()
+@query(f"{_VERBATIM} select news_raw_id as doc_id, idx, 'verbatim' as mode, score from g")
 def claim_scores(spark, sf):
     return claims.scored_candidates(_claim_articles(spark, sf)).select("doc_id", "idx", "mode", "score")
 
@@ -497,12 +488,22 @@ def stance_pairs(spark, sf):
     return c.where("role = 'user'").select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("headline")).join(a, ["conv_id", "turn"])
 
 
+_ROUGE = """n as (select count(*) as n from benchmark), d as (select doc_id as id, doc_id % n as k, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as t from documents, n), r as (select item_id as k, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as t from benchmark),
+    ct as (select id, k, i, t[i] as x, t[i + 1] as y, len(t) as n from (select id, k, t, unnest(range(1, len(t) + 1)) as i from d)), rt as (select k, i, t[i] as x, t[i + 1] as y, len(t) as n from (select k, t, unnest(range(1, len(t) + 1)) as i from r))"""
+
+
 def _rouge_sql(n: int) -> str:
-    gram = "x" if n == 1 else "x || ' ' || lead(x) over (partition by id, side order by i)"
-    return f"""with p as (select d.doc_id as id, d.text as c, b.text as r from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark)),
-    w as (select id, side, unnest(t) as x, generate_subscripts(t, 1) as i from (select id, 'c' as side, regexp_extract_all(lower(c), '[\\p{{L}}\\p{{N}}_]+') as t from p union all select id, 'r', regexp_extract_all(lower(r), '[\\p{{L}}\\p{{N}}_]+') from p)),
-    g as (select id, side, {gram} as g from w), k as (select id, g, count(*) filter (side = 'c') as x, count(*) filter (side = 'r') as y from g where g is not null group by 1, 2), s as (select id, sum(least(x, y)) as o, sum(x) as nc, sum(y) as nr from k group by id)
-    select p.id, round(case when coalesce(o, 0) = 0 then 0 else 2 * (o / nc) * (o / nr) / (o / nc + o / nr) end, 6) as f1 from p left join s using (id)"""
+    gram, last = ("x", "true") if n == 1 else ("x || ' ' || y", "i < n")
+    return f"""with {_ROUGE}, c as (select id, k, {gram} as g, count(*) as m from ct where {last} group by all), b as (select k, {gram} as g, count(*) as m from rt where {last} group by all),
+    o as (select c.id, sum(least(c.m, b.m)) as o from c join b on b.k = c.k and b.g = c.g group by c.id), s as (select d.id, o.o, greatest(len(d.t) - {n - 1}, 0) as nc, greatest(len(r.t) - {n - 1}, 0) as nr from d join r using (k) left join o on o.id = d.id)
+    select id, round(case when coalesce(o, 0) = 0 then 0 else 2 * (o / nc) * (o / nr) / (o / nc + o / nr) end, 6) as f1 from s"""
+
+
+# the rows of the dynamic program as the bits of one number, a reference has fewer than 120 words
+_LCS = f"""with {_ROUGE}, m as (select k, x, sum(1::hugeint << (i - 1)::hugeint)::hugeint as m from rt group by all), l as (select ct.id, list(m.m order by ct.i) as ms from ct join m on m.k = ct.k and m.x = ct.x group by ct.id),
+    z as (select d.id, len(d.t) as nc, len(r.t) as nr, (1::hugeint << len(r.t)::hugeint) - 1::hugeint as f, coalesce(ms, []::hugeint[]) as ms from d join r using (k) left join l on l.id = d.id),
+    s as (select id, nc, nr, nr - bit_count(list_reduce(list_prepend(f, ms), lambda v, m: (((v + (v & m)) & f) | (v - (v & m))))) as o from z)
+    select id, round(case when o = 0 then 0 else 2 * (o / nc) * (o / nr) / (o / nc + o / nr) end, 6) as f1 from s"""
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -522,7 +523,7 @@ def rouge2(spark, sf):
     return metrics.rouge_n(_pairs(spark, sf), 2).select("id", F.round("f1", 6).alias("f1"))
 
 
-@query()
+@query(_LCS)
 def rougeL(spark, sf):
     return metrics.rouge_l(_pairs(spark, sf)).select("id", F.round("f1", 6).alias("f1"))
 
@@ -545,7 +546,7 @@ def html_title_links(spark, sf):
     return html.links(tables.table(spark, sf, "pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "url")
 
 
-@query()
+@query("""select page_id, replace(replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&amp;', '&') as headline, null::varchar as claim, null::varchar as rating, null::varchar as date from pages""")
 def html_fact_checks(spark, sf):
     return html.fact_checks(tables.table(spark, sf, "pages")).select("page_id", "headline", "claim", "rating", "date")
 
@@ -625,15 +626,39 @@ def grounded_match(spark, sf):
     return d.select("url", (F.col("source").isin("x", "") | (tx.domain(F.col("url")) == "rpp.pe")).alias("listed"), evidence.grounded(F.col("url"), others).alias("grounded"))
 
 
-# --- event windows (the batch twin of the streaming jobs) ----------------------------------------------------
+# --- streams: the jobs run over what is there, and their sinks are read back ----------------------------
+_EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    return jobs.read_stream(spark, f"{sf}/events.parquet", _EVENTS)
+
+
+def _sunk(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """What a job wrote to its table, with the number of the micro-batch."""
+    out = work_folder(spark, name)
+    jobs.run_available(stream, jobs.table_sink(f"{out}/table"), f"{out}/checkpoint", mode)
+    return spark.read.parquet(f"{out}/table")
+
+
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by all")
 def stream_windows(spark, sf):
-    return tables.table(spark, sf, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    rows = _sunk(spark, jobs.window_counts(_stream(spark, sf), "ts"), "windows", "update")
+    return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"))
 
 
-@query("select user_id, event_type, min(event_id) as event_id from events group by all")
+@query("select user_id, event_type, count(*) as n from (select distinct user_id, event_type from events) group by all")
 def stream_dedupe(spark, sf):
-    return tables.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    rows = _sunk(spark, jobs.dedupe_stream(_stream(spark, sf), ["user_id", "event_type"], "ts", "60 days"), "dedupe", "append")
+    return rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with g as (select user_id, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 30 minutes then 1 else 0 end as new from events window w as (partition by user_id order by ts)),
+    s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, k""")
+def stream_sessions(spark, sf):
+    rows = _sunk(spark, jobs.session_counts(_stream(spark, sf), "ts"), "sessions", "complete")
+    last = rows.agg(F.max("batch").alias("batch"))  # one row
+    return rows.join(F.broadcast(last), "batch").select("user_id", "start", "n")
 
 
 # --- summaries, training and caches ---------------------------------------------------------------------------
