@@ -444,7 +444,7 @@ _VERBATIM = f"""with {RAW}, s as (select news_raw_id, 0 as pos, 'title' as origi
         and not {_any("' ' || lt || ' '", [f" {m.strip()} " for m in lx.FIRST_PERSON])} and not {_starts("lt", lx.FIRST_PERSON)} and not {_any("lt", lx.OPINION)} and not {_any("lt", lx.LOW_VALUE)} and not ends_with(x, '?') and not {_starts("lt", lx.QUESTIONS)}),
     f as (select * from v qualify row_number() over (partition by news_raw_id, trim(regexp_replace(lt, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) order by pos) = 1),
     n as (select *, row_number() over (partition by news_raw_id order by pos) - 1 as idx from f qualify idx < 30),
-    g as (select *, round(case when origin = 'title' then 0.6 else 0 end + case when regexp_matches(x, '[0-9]') then 1.5 else 0 end + case when len(regexp_extract_all(x, '\\b[A-Z][a-z]+\\b')) >= 2 then 0.8 else 0 end + case when {_any("low", lx.CUES)} then 1.0 else 0 end
+    g as (select *, round(case when origin = 'title' then 0.6 else 0 end + case when regexp_matches(x, '[0-9]') then 1.5 else 0 end + case when len(list_filter(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+'))) >= 2 then 0.8 else 0 end + case when {_any("low", lx.CUES)} then 1.0 else 0 end
         + case when list_has_any(string_split_regex(low, '\\s+'), {lx.FACT_VERBS}) then 0.5 else 0 end + case when {_any("low", lx.OFFICIAL)} then 0.5 else 0 end + case when {_any("low", lx.ACTIONS)} then 0.8 else 0 end + case when {_starts("lt", lx.DISCOURSE_STARTS)} then -0.8 else 0 end
         + case when contains(x, ':') and regexp_matches(x, '["“”]') then -0.8 else 0 end, 4)::double as score from n)"""
 

@@ -121,7 +121,7 @@ def _variants() -> Column:
     )
 
 
-@query(f"select doc_id, case when doc_id % 6 = 3 then trim(c) else upper(trim(c)[1]) || trim(c)[2:] end as claim from (select doc_id, {_CLAIM} as c from documents) where trim(c) <> ''")
+@query(f"select doc_id, case when doc_id % 6 = 3 then c else upper(c[1]) || c[2:] end as claim from (select doc_id, case when doc_id % 6 = 5 and starts_with(lower(c), 'que ') then trim(c[5:]) else c end as c from (select doc_id, trim({_CLAIM}) as c from documents) where c <> '')")
 def clean_claims(spark, sf):
     d = tables.table(spark, sf, "documents").select("doc_id", F.trim(_claim()).alias("c")).where("c <> ''")
     return d.select("doc_id", lb.clean_claim(_variants()).alias("claim"))
