@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import flat, slices
 
@@ -121,8 +122,10 @@ def fit(docs: DataFrame, learn: Column, windows: int = WINDOWS) -> Network | Non
     shares = F.create_map(*[x for a, n in totals.items() for x in (F.lit(a), F.lit(min(1.0, windows / n)))])
     drawn = rows.where("n > 0").withColumn("share", shares[F.col("lang")]).withColumn("nth", F.explode(F.expr("sequence(0L, n - 1)")))
     drawn = drawn.where(F.pmod(F.xxhash64("doc_id", "nth", F.lit("langid")), F.lit(1 << 40)) < F.col("share") * float(1 << 40))
-    drawn = drawn.select("lang", F.expr(f"substring(text, cast(nth * {WINDOW} + 1 as int), {WINDOW})").alias("w"))
-    got = drawn.limit(2 * windows * len(totals)).toArrow()
+    # a bound for tables in which rows repeat: the least hashes of each language
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "nth", F.lit("place")), "doc_id", "nth", "text"))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= 2 * windows)
+    got = drawn.select("lang", F.expr(f"substring(text, cast(nth * {WINDOW} + 1 as int), {WINDOW})").alias("w")).toArrow()
     langs = sorted(totals)
     pairs = sorted(zip(got["lang"].to_pylist(), got["w"].to_pylist()))  # the same order in each run
     x = np.zeros((len(pairs), WINDOW), np.uint8)

@@ -44,6 +44,10 @@ SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Columns that ``judge`` adds; those of a caller under these names are left out.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "base_failed", "kept")
+
+
 def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 

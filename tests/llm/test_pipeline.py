@@ -72,5 +72,25 @@ def test_mix_and_packs_are_whole(spark, stages):
         assert sum(n for _, n, _ in p) == per * p[0][2]
 
 
-def test_run_equals_its_stages(spark, stages):
-    assert corpus_pipeline.run(spark, SF).count() > 0
+def test_run_equals_its_stages(spark):
+    spark.conf.set("plumbline.pii.key", "test")
+    try:
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF)
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        want = sorted(tuple(r) for r in docs.select(*names).collect())
+        assert want and sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).select(*names).collect()) == want
+    finally:
+        spark.conf.unset("plumbline.pii.key")
+
+
+def test_stages_of_an_empty_table_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0
+    own = spark.createDataFrame([(1, "w1 w2 w3 a@b.de " + " ".join(f"w{i}" for i in range(9, 90)), "mine", "too", True)], "doc_id long, text string, n_words string, n_entities string, kept boolean")
+    for stage in (corpus_pipeline.keep_quality, corpus_pipeline.hide_persons):
+        row = stage(spark, own, SF).first()
+        assert (row["n_words"], row["n_entities"], row["kept"]) == ("mine", "too", True) and row.__fields__ == own.columns
