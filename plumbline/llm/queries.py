@@ -76,7 +76,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_shards, op2_ngram_jaccard_join, op3_quality_rules, op4_language_id, op5_media_columns, op6_packing, op7_mixing, op8_warc, op9_substring_dedup, op10_pii)}
 
+_SPLIT = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
 ORACLE_SQL = {
+    "op2_ngram_jaccard_join": f"""
+        with recursive w as (select doc_id, {_SPLIT.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as l from documents),
+        s as (select doc_id, case when len(l) >= 3 then list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) when len(l) > 0 then [array_to_string(l, ' ')] else [] end as s from w),
+        t as (select doc_id, len(s) as n, unnest(s) as x from s),
+        p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as o from t a join t b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by 1, 2),
+        k as (select a, b from p where 100 * o >= 90 * (na + nb - o)), e as (select a, b from k union all select b, a from k),
+        r as (select doc_id as id, doc_id as c from s union select e.b, r.c from r join e on e.a = r.id)
+        select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.c) as component_id from s join r on r.id = s.doc_id group by s.doc_id, len(s.s)""",
+    "op9_substring_dedup": f"""
+        with w as (select doc_id, {_SPLIT} as l from documents),
+        v as (select doc_id, i, md5(array_to_string(l[i : i + 49], ' ')) as h from (select doc_id, l, unnest(range(1, len(l) - 48)) as i from w where len(l) >= 50)),
+        o as (select h, min(doc_id) as first from v group by h), b as (select v.doc_id, v.i from v join o using (h) where o.first < v.doc_id),
+        x as (select w.doc_id, w.i, w.x, max(b.i) over (partition by w.doc_id order by w.i) as last from (select doc_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as x from w) w left join b on b.doc_id = w.doc_id and b.i = w.i),
+        k as (select doc_id, count(*) filter (last is null or i - last >= 50) as kept, string_agg(x, ' ' order by i) filter (last is null or i - last >= 50) as t from x group by doc_id)
+        select w.doc_id, cast(len(w.l) as bigint) as n_words, cast(len(w.l) - coalesce(k.kept, 0) as bigint) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from w left join k using (doc_id)""",
     "op8_warc": """
         with p as (select page_id, encode(coalesce(html, '')) as b from pages),
         d as (select page_id, octet_length(b) as n, sha256(b) as h from p),
