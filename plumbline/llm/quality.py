@@ -55,19 +55,24 @@ def _without(text: Column, chars: str) -> Column:
 def quality_features(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and n_capitals (long) from the whole text.
 
-    Repeated words come from sorting a document's 3-word windows: n log n in its length, inside its row."""
+    Repeated words come from sorting hashes of a document's 3-word windows: n log n in its length, inside its row. Two different windows of one text with one 64-bit hash
+    could part equal ones in the order, at odds of about n^2 / 2^65."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.withColumn("_words", F.filter(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), lambda w: w != ""))
     d = d.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.length(_without(x, BLANKS)) > 0))
-    # each window with its place, sorted by window: equal windows are neighbours
+    # a hash of each window with its place, sorted by hash: equal windows are neighbours, and words are compared where hashes tie
     windows = F.expr("""
         case when size(_words) < 3 then array()
-        else array_sort(transform(sequence(0, size(_words) - 3), i ->
-            struct(concat_ws(' ', _words[i], _words[i + 1], _words[i + 2]) as w, i as p))) end""")
+        else sort_array(transform(sequence(0, size(_words) - 3), i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) as h, i as p))) end""")
     d = d.withColumn("_windows", windows)
-    twice = F.expr("""
-        array_sort(filter(transform(_windows, (x, i) ->
-            if((i > 0 and _windows[greatest(i - 1, 0)].w = x.w) or (i < size(_windows) - 1 and _windows[least(i + 1, size(_windows) - 1)].w = x.w), x.p, -1)), p -> p >= 0))""")
+
+    def same(other: str) -> str:
+        y = f"_windows[{other}]"
+        return f"{y}.h = x.h and _words[{y}.p] = _words[x.p] and _words[{y}.p + 1] = _words[x.p + 1] and _words[{y}.p + 2] = _words[x.p + 2]"
+
+    twice = F.expr(f"""
+        sort_array(filter(transform(_windows, (x, i) ->
+            if((i > 0 and {same("greatest(i - 1, 0)")}) or (i < size(_windows) - 1 and {same("least(i + 1, size(_windows) - 1)")}), x.p, -1)), p -> p >= 0))""")
     d = d.withColumn("_twice", twice)
     # words under sorted windows of three: each adds what lies before the next window's start
     repeated = F.expr("""
