@@ -47,7 +47,7 @@ def test_clusters_equal_the_sequential_loop(spark):
             leader[i] = i
     got = clustering.leaders(articles.select("id", F.col("id").alias("rank")), pairs)
     assert {x["id"]: x["leader"] for x in got.collect()} == leader
-    reps = clustering.representatives(got, pairs).collect()
+    reps = clustering.representatives(got, clustering.contexts(articles)).collect()
     assert {x["leader"] for x in reps} == set(founders) and all(leader[x["representative"]] == x["leader"] for x in reps)
 
 
