@@ -3,9 +3,16 @@
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as lb
+from plumbline.sources import sites
 
 
 def test_claims_start_with_one_letter_for_one(spark):
     titles = ["Es falso que ßheit", "¿ßa uno? Es falso", "ﬁn, pero es falso", "Son falsas ᾳ b", "Es falso que ñandú", "ßolo", None]
     d = spark.createDataFrame(list(enumerate(titles)), "i int, t string")
     assert [r["c"] for r in d.orderBy("i").select(lb.clean_claim(F.col("t")).alias("c")).collect()] == ["ẞheit", "ẞa uno", "ﬁn", "ᾼ b", "Ñandú", "ßolo", None]
+
+
+def test_outcomes_start_with_one_letter_for_one(spark):
+    page = "<h1>Es falso que ßheit</h1><article><p>Redacción: Ana - 2024-02-05</p><p>Es falso, dice el informe</p></article>"
+    d = spark.createDataFrame([(1, "perucheck", "https://p.pe/articles/nota-1", page)], "page_id long, publisher string, url string, html string")
+    assert sites.fact_check_outcomes(d).first()["claim"] == "ẞheit"
