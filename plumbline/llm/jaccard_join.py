@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, passing, slices
+from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, passing, release, slices
 from .graph import components
 from .words import mix, shingle_sets
 
@@ -124,6 +124,7 @@ def survivors(rows: DataFrame, rule: Rule) -> DataFrame:
     Shared shingles are passed to the tasks as a filter of fixed size; a fuller filter lets more classes through, and exact steps follow."""
     given = rows.where("sample is not null")
     shared = cut(_exploded(given, "sample", "k1").groupBy("token").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("token"), "shared")
+    release(rows.sparkSession)  # the shuffle of all sampled shingles
     words = rows.sparkSession.sparkContext.broadcast(bloom(shared, "token", bloom_size(shared.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +186,7 @@ def prefixes(members: DataFrame, rule: Rule) -> DataFrame:
     The order is by levels of rarity, then by hash. A level is a filter of fixed size over the shingles that stand in at least LEVELS[i] sets: a
     fuller filter makes some shingles seem more frequent, but to all sets alike, so no link is lost. Sets with too few shared shingles give none."""
     counts = cut(_exploded(members, "tokens").groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
+    release(members.sparkSession)  # the shuffle of the candidates' shingles
     filters = []
     for least in LEVELS:
         often = counts.where(F.col("c") >= least).select("token")
@@ -392,12 +394,15 @@ def _node_pairs(large: DataFrame, rule: Rule) -> DataFrame:
 def links_of(members: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) between sets (id, n, tokens) that give their components."""
     groups = cut(groups_of(cut(prefixes(members, rule), "prefixes")), "groups")
+    release(members.sparkSession)
     fits = F.expr(f"100 * least(n, lead_n) >= {rule.percent} * greatest(n, lead_n)")
     links = cut(verified(groups.where("id <> lead").where(fits).select(F.col("lead").alias("a"), F.col("id").alias("b")), members, rule), "links")
+    release(members.sparkSession)  # the sets that were sent to their leads
     found = components(links)
     labelled = cut(groups.join(found.select("id", F.col("component").alias("seen")), "id", "left").select("lead", "id", "n", F.coalesce("seen", "id").alias("seen")), "labelled")
     open_groups = cut(labelled.groupBy("lead").agg(F.min("seen").alias("lo"), F.max("seen").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("weight")).where("lo < hi").select("lead", "m", "weight"), "open")
     apart = cut(labelled.join(open_groups, "lead"), "apart")
+    release(members.sparkSession)
     return cut(links.unionByName(tree_links(apart, members, rule)), "links")
 
 
@@ -411,6 +416,7 @@ def link_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     near, _ = passing(texts, heads, "id")  # texts of candidates alone are shuffled
     members = cut(_sets_of(heads.join(near, "id"), rule), "members")
+    release(docs.sparkSession)  # the candidates' texts
     if not members.groupBy("id", "n").count().where("count > 1").isEmpty():  # rows that repeat a doc_id and its text
         members = cut(members.dropDuplicates(["id"]), "members")
     # links of sets, which k1 names until here, as links of their doc_ids: rows of one doc_id are one node
