@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import labels as lb
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..operators import claims, clustering, datasets, evidence, metrics, preprocess, scoring, serving, summaries, training
+from ..operators import blocks, claims, clustering, datasets, evidence, metrics, preprocess, scoring, serving, summaries, training
 from ..sources import html, tables
 from ..storage import keep, work_folder
 from ..streaming import jobs
@@ -135,10 +135,8 @@ def _sql_tokens(text: str) -> str:
     p as (select a.id as a, b.id as b, count(*) as o, any_value(a.n) as na, any_value(b.n) as nb from t a join t b on a.w = b.w and a.id < b.id group by 1, 2)
     select a, b, round(o / (na + nb - o), 4) as jaccard from p where o / (na + nb - o) >= 0.6""")
 def body_jaccard_pairs(spark, sf):
-    sets = keep(clustering.contexts(_articles(spark, sf)).select("id", "body"), "bodies")
-    pairs = keep(clustering._prefix_pairs(sets.select("id", F.col("body").alias("s")), 0.6).distinct(), "pairs")
-    d = pairs.join(sets.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-    d = d.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("both"))
+    bodies = keep(clustering.contexts(_articles(spark, sf)).select("id", F.col("body").alias("s")), "bodies")
+    d = blocks.jaccard_pairs(bodies, 0.6).withColumnRenamed("common", "n")
     return d.select("a", "b", (F.col("n") / (F.col("both") - F.col("n"))).alias("j")).where("j >= 0.6").select("a", "b", F.round("j", 4).alias("jaccard"))
 
 
