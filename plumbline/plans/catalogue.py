@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import labels as lb
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..operators import blocks, claims, clustering, datasets, evidence, metrics, preprocess, scoring, serving, summaries, training
+from ..operators import blocks, claims, clustering, datasets, evidence, metrics, preprocess, scoring, serving, similarity, summaries, training
 from ..sources import html, tables
 from ..storage import keep, work_folder
 from ..streaming import jobs
@@ -145,10 +145,7 @@ def body_jaccard_pairs(spark, sf):
     select a, b, round(o / n, 4) as overlap from p where o / n >= 0.5""")
 def title_overlap_pairs(spark, sf):
     sets = keep(clustering.contexts(_articles(spark, sf)).select("id", "title"), "titles")
-    pairs = clustering._title_pairs(sets, 0.5).distinct()
-    d = pairs.join(sets.select(F.col("id").alias("a"), F.col("title").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("title").alias("y")), "b")
-    o = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
-    return d.select("a", "b", o.alias("o")).where("o >= 0.5").select("a", "b", F.round("o", 4).alias("overlap"))
+    return similarity.titles(sets, 0.5).select("a", "b", F.round("o", 4).alias("overlap"))
 
 
 @query(f"{NEAR} select a, b, sim from near")
@@ -158,10 +155,9 @@ def hybrid_similarity(spark, sf):
 
 def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Leaders of all articles in order of their time, and their token sets."""
-    articles = keep(_articles(spark, sf), "articles")
-    sets = keep(clustering.contexts(articles), "contexts")
-    ids = articles.select("id", F.unix_micros(F.col("published_at").cast("timestamp")).alias("rank"))
-    return keep(clustering.leaders(ids, keep(clustering.pairs_of_sets(sets), "pairs")), "leaders"), sets
+    articles = _articles(spark, sf).withColumn("rank", F.unix_micros(F.col("published_at").cast("timestamp")))
+    sets = keep(clustering.contexts(articles, "rank").drop("lead"), "contexts")
+    return keep(clustering.leaders_of_sets(sets), "leaders"), sets
 
 
 @query(f"{FOUND} select id, leader, sim from clusters")
