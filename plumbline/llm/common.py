@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +45,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``cut`` wrote and that no later step reads, so that it doesn't stay on the disk until the run's end."""
+    spark = table.sparkSession
+    for folder in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def trim() -> None:
+    """For the start of a task: its Python worker gives back what tasks of other steps left, which are a tokenizer with its cache and freed memory that allocators keep."""
+    if tokens := sys.modules.get(f"{__package__}.tokens"):
+        tokens.encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now: it does so when their handles are collected as garbage."""
     spark.sparkContext._jvm.System.gc()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, bloom_size, cut, flat, grouped, in_bloom, passing, release, slices
+from .common import bloom, bloom_size, cut, discard, flat, grouped, in_bloom, passing, release, slices, trim
 from .graph import components
 from .words import mix, shingle_sets
 
@@ -83,6 +83,7 @@ def sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, sample): set size and name of each row, and its sampled shingles as bytes, once a task for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         given: set[tuple[int, int]] = set()
         for batch in batches:
             data, offsets = flat(batch.column(1))
@@ -153,6 +154,7 @@ def _sets_of(texts: DataFrame, rule: Rule) -> DataFrame:
     """(id, n, tokens) of rows (k1, k2, text), where id is k1. A text whose set isn't (k1, k2) is of another row of its doc_id and left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             data, offsets = flat(batch.column(2))
             k1, k2 = (batch.column(c).to_pylist() for c in ("k1", "k2"))
@@ -237,6 +239,7 @@ def verified(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
     others = salted.join(members.select(F.col("id").alias("b"), "tokens"), "b").select("a", "chunk", "b", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         one = np.zeros(0, U)
         for batch in batches:
             data, offsets = flat(batch.column(3))
@@ -323,6 +326,7 @@ def join_nodes(rows: DataFrame, rule: Rule) -> DataFrame:
     verified on the sets; what is one component by then, from before (seen) or by links of the task, is not looked at again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for group in grouped(batches, ["task"]):
             side, ids, n, seen = (group.column(c).to_numpy() for c in ("side", "id", "n", "seen"))
             raw, sets_ = group.column("bits").to_pylist(), group.column("tokens").to_pylist()
@@ -409,10 +413,12 @@ def links_of(members: DataFrame, rule: Rule) -> DataFrame:
 def link_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
     rule = Rule(percent, k)
-    rows = cut(sets(docs, rule), "sets")
-    known = rows.where("n_shingles > 0 and doc_id is not null").drop("sample")
+    sampled = cut(sets(docs, rule), "sets")
+    rows = cut(sampled.drop("sample"), "rows")
+    known = rows.where("n_shingles > 0 and doc_id is not null")
     named = cut(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    heads = cut(named.join(survivors(rows, rule), ["k1", "k2", "n_shingles"], "left_semi").select("id", "k1", "k2"), "heads")
+    heads = cut(named.join(survivors(sampled, rule), ["k1", "k2", "n_shingles"], "left_semi").select("id", "k1", "k2"), "heads")
+    discard(sampled)  # the samples are most of what is written until here
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     near, _ = passing(texts, heads, "id")  # texts of candidates alone are shuffled
     members = cut(_sets_of(heads.join(near, "id"), rule), "members")
@@ -421,6 +427,7 @@ def link_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame
         members = cut(members.dropDuplicates(["id"]), "members")
     # links of sets, which k1 names until here, as links of their doc_ids: rows of one doc_id are one node
     links = links_of(members, rule)
+    discard(members)
     links = cut(links.join(heads.select(F.col("k1").alias("a"), F.col("id").alias("x")), "a").join(heads.select(F.col("k1").alias("b"), F.col("id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
     # equal sets under different doc_ids, and links between sets
     same = known.join(named, ["k1", "k2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
