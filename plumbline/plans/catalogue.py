@@ -123,8 +123,9 @@ def source_activity(spark, sf):
 
 
 # --- similarity and clusters -------------------------------------------------------------------------
-def _articles(spark: SparkSession, sf: str) -> DataFrame:
-    return _processed(spark, sf).where("status = 'ok'").select(F.col("news_raw_id").alias("id"), F.col("title_raw").alias("title"), F.col("clean_text").alias("text"), "published_at")
+def _contexts(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """Token sets of the articles that are long enough."""
+    return clustering.contexts_of_raw(tables.news_texts(spark, sf), *more)
 
 
 def _sql_tokens(text: str) -> str:
@@ -135,7 +136,7 @@ def _sql_tokens(text: str) -> str:
     p as (select a.id as a, b.id as b, count(*) as o, any_value(a.n) as na, any_value(b.n) as nb from t a join t b on a.w = b.w and a.id < b.id group by 1, 2)
     select a, b, round(o / (na + nb - o), 4) as jaccard from p where o / (na + nb - o) >= 0.6""")
 def body_jaccard_pairs(spark, sf):
-    bodies = keep(clustering.contexts(_articles(spark, sf)).select("id", F.col("body").alias("s")), "bodies")
+    bodies = keep(_contexts(spark, sf).select("id", F.col("body").alias("s")), "bodies")
     d = blocks.jaccard_pairs(bodies, 0.6).withColumnRenamed("common", "n")
     return d.select("a", "b", (F.col("n") / (F.col("both") - F.col("n"))).alias("j")).where("j >= 0.6").select("a", "b", F.round("j", 4).alias("jaccard"))
 
@@ -144,19 +145,18 @@ def body_jaccard_pairs(spark, sf):
     p as (select a.id as a, b.id as b, count(*) as o, least(any_value(a.n), any_value(b.n)) as n from t a join t b on a.w = b.w and a.id < b.id group by 1, 2)
     select a, b, round(o / n, 4) as overlap from p where o / n >= 0.5""")
 def title_overlap_pairs(spark, sf):
-    sets = keep(clustering.contexts(_articles(spark, sf)).select("id", "title"), "titles")
+    sets = keep(_contexts(spark, sf).select("id", "title"), "titles")
     return similarity.titles(sets, 0.5).select("a", "b", F.round("o", 4).alias("overlap"))
 
 
 @query(f"{NEAR} select a, b, sim from near")
 def hybrid_similarity(spark, sf):
-    return clustering.similar_pairs(_articles(spark, sf))
+    return clustering.pairs_of_sets(keep(_contexts(spark, sf), "contexts"))
 
 
 def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Leaders of all articles in order of their time, and their token sets."""
-    articles = _articles(spark, sf).withColumn("rank", F.unix_micros(F.col("published_at").cast("timestamp")))
-    sets = keep(clustering.contexts(articles, "rank").drop("lead"), "contexts")
+    sets = keep(_contexts(spark, sf, "rank"), "contexts")
     return keep(clustering.leaders_of_sets(sets), "leaders"), sets
 
 
